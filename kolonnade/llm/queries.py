@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups
+from kolonnade.llm import groups, neighbours
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ SELECT db_id, column_ref, min(reached) AS group_ref FROM w GROUP BY db_id, colum
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.link_groups(table(spark, sf_dir, "accepted_edges"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, sf_dir, "column_vectors"))

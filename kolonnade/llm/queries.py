@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups, neighbours
+from kolonnade.llm import groups, neighbours, setjoin
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, sf_dir, "column_vectors"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_domains(table(spark, sf_dir, "value_domains"))

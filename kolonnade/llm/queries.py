@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups, neighbours, setjoin
+from kolonnade.llm import groups, leakage, neighbours, setjoin
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_domains(table(spark, sf_dir, "value_domains"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

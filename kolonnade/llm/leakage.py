@@ -25,8 +25,11 @@ PORTION = 20_000
 #: Words of a quote that leaks by itself, words that may be changed in a whole text.
 QUOTE, CHANGED = 12, 4
 #: Minima per window for whole texts (three-word shingles: four changed words leave at least half of them)
-#: and for quotes (five-word shingles); as many of them must agree.
-WHOLE_HASHES, QUOTE_HASHES, AGREE = 48, 24, 2
+#: and for quotes (five-word shingles). So many must agree with a text that may be changed, with an unchanged
+#: one (half of the window's shingles are then its own), and with a quote: each passage looked for reaches
+#: that with a probability of at least 0.998.
+WHOLE_HASHES, QUOTE_HASHES = 48, 24
+AGREE = {"text": 3, "sql": 12, "quote": 3}
 SIZE_STEP = 1.25
 STREAM = 60_000
 
@@ -38,6 +41,7 @@ class Partition:
     longest: int
     shingle: int
     owner: np.ndarray
+    need: np.ndarray
     minima: np.ndarray
     order: np.ndarray
     ranked: np.ndarray
@@ -49,27 +53,27 @@ def _mix(hashes: np.ndarray, k: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def _partition(texts: list[tuple[int, np.ndarray]], longest: int, shingle: int, hashes: int) -> Partition:
+def _partition(texts: list[tuple[int, str, np.ndarray]], longest: int, shingle: int, hashes: int) -> Partition:
     minima = np.empty((len(texts), hashes), np.uint64)
-    for i, (_, h) in enumerate(texts):
+    for i, (_, _, h) in enumerate(texts):
         s = shingle_hashes(h, shingle)
         minima[i] = [_mix(s, k).min() for k in range(hashes)]
     order = np.argsort(minima, axis=0, kind="stable")
-    return Partition(longest, shingle, np.array([o for o, _ in texts]), minima, order, np.take_along_axis(minima, order, axis=0))
+    return Partition(longest, shingle, np.array([o for o, _, _ in texts]), np.array([AGREE[k] for _, k, _ in texts]), minima, order, np.take_along_axis(minima, order, axis=0))
 
 
 def index_items(fields: list[tuple[int, str, str]]) -> tuple[list[tuple[int, str, np.ndarray]], list[Partition]]:
     """(item, kind, text) to hashed texts and their partitions; kind "sql" must be held whole and unchanged."""
     hasher = Hasher()
     texts = [(item, kind, h) for item, kind, text in fields if text and len(h := hasher(words(text)))]
-    classes: dict[int, list[tuple[int, np.ndarray]]] = {}
-    quotes: list[tuple[int, np.ndarray]] = []
+    classes: dict[int, list[tuple[int, str, np.ndarray]]] = {}
+    quotes: list[tuple[int, str, np.ndarray]] = []
     for i, (_, kind, h) in enumerate(texts):
         if len(h) >= 3:
-            classes.setdefault(int(np.ceil(np.log(len(h)) / np.log(SIZE_STEP) - 1e-9)), []).append((i, h))
+            classes.setdefault(int(np.ceil(np.log(len(h)) / np.log(SIZE_STEP) - 1e-9)), []).append((i, kind, h))
         if kind != "sql":
-            quotes += [(i, h[s : s + QUOTE]) for s in range(len(h) - QUOTE + 1)]
-    parts = [_partition(found, max(len(h) for _, h in found), 3, WHOLE_HASHES) for _, found in sorted(classes.items())]
+            quotes += [(i, "quote", h[s : s + QUOTE]) for s in range(len(h) - QUOTE + 1)]
+    parts = [_partition(found, max(len(h) for _, _, h in found), 3, WHOLE_HASHES) for _, found in sorted(classes.items())]
     if quotes:
         parts.append(_partition(quotes, QUOTE, 5, QUOTE_HASHES))
     return texts, parts
@@ -89,15 +93,14 @@ def _candidates(part: Partition, stream: np.ndarray) -> Iterator[tuple[int, int]
         for shift in (1, 2):
             window[:-shift] = np.minimum(window[:-shift], least[shift:])
         lo = np.searchsorted(part.ranked[:, k], window, "left")
-        hi = np.searchsorted(part.ranked[:, k], window, "right")
-        found = np.flatnonzero(hi > lo)
+        found = np.flatnonzero(part.ranked[np.minimum(lo, len(part.owner) - 1), k] == window)
         if len(found):
-            n = hi[found] - lo[found]
+            n = np.searchsorted(part.ranked[:, k], window[found], "right") - lo[found]
             at = np.repeat(lo[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             hits.append(np.repeat(found, n) * np.int64(len(part.owner)) + part.order[at, k])
     if hits:
         both, times = np.unique(np.concatenate(hits), return_counts=True)
-        both = both[times >= AGREE]
+        both = both[times >= part.need[both % len(part.owner)]]
         pairs = np.unique(np.stack([both // len(part.owner), part.owner[both % len(part.owner)]], axis=1), axis=0)
         for w, text in pairs:
             yield int(starts[w]), int(text)

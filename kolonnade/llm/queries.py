@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups, leakage, neighbours, setjoin
+from kolonnade.llm import groups, languages, leakage, neighbours, setjoin
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.relabelled(table(spark, sf_dir, "documents"))
+
+
+@query("p9_segments")
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.sentence_languages(table(spark, sf_dir, "documents")).distinct()

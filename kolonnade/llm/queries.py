@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups, languages, leakage, neighbours, setjoin
+from kolonnade.llm import groups, languages, leakage, neighbours, setjoin, truncation
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_segments")
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.sentence_languages(table(spark, sf_dir, "documents")).distinct()
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "column_profiles"))
+
+
+@query("p1_rates")
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "column_profiles"))

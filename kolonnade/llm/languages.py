@@ -250,3 +250,39 @@ def relabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:
         .where(F.col("label").isNull() | (F.col("n") > 1) | (F.col("label") != F.col("lang")))
         .select("doc_id", "lang")
     )
+
+
+#: Frequent function words, to label sentences where no labels are given.
+FUNCTION_WORDS = {
+    "en": "the of and to is in that for with which when this from are not by",
+    "de": "der die das und ist nicht mit für ein eine den dem von zu wenn auf",
+    "fr": "le les des une est dans pour qui que avec sur pas du la et au",
+    "es": "el los las una es en para que con por del la y se al su",
+    "it": "il gli della una è per che con di non dei nel la le sono si",
+    "pt": "o os das uma é em para que com não do da as na ao um",
+    "nl": "het een van is en voor dat met niet de op als wordt zijn door naar",
+    "ru": "и в не на что с по для это как из от к при если у",
+}
+
+
+def seeded(ws: list[str]) -> str | None:
+    """The language whose function words a sentence holds, if there are three and twice as many as of any other."""
+    held = set(ws)
+    counts = sorted(((len(held & s), x) for x, s in _FUNCTION_SETS.items()), reverse=True)
+    return counts[0][1] if counts[0][0] >= 3 and counts[0][0] >= 2 * counts[1][0] else None
+
+
+_FUNCTION_SETS = {x: frozenset(s.split()) for x, s in FUNCTION_WORDS.items()}
+
+
+def fit_unlabelled(texts: DataFrame, per_label: int = PER_LABEL) -> Model | None:
+    """Like `fit`, for a column `text` without labels: function words label the sample."""
+
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(label=[seeded([w for *_, prose in sentences(t) for w in natural_words(prose)]) for t in f["text"]])
+
+    some = texts.where(f"length(text) between 20 and {SAMPLE_CHARS}").select("text").mapInPandas(label, "text string, label string").where("label is not null")
+    pick = W.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+    rows = some.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= per_label).select("label", "text").collect()
+    return train((r["label"], r["text"]) for r in rows)

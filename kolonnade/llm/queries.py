@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import groups, languages, leakage, neighbours, setjoin, truncation
+from kolonnade.llm import answers, groups, languages, leakage, neighbours, setjoin, truncation
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p1_rates")
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "column_profiles"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.defective(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "batch_requests"))

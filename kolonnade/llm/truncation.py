@@ -234,9 +234,11 @@ def encoded_lengths(c: Column) -> dict[str, Column]:
     }
 
 
-def unfolded(responses: DataFrame, profiles: DataFrame) -> DataFrame:
+def unfolded(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     """Both fields as (field, source, record_key, item_pos, text); null texts and keys are left out."""
     content = responses.select(F.lit("content").alias("field"), F.col("model").alias("source"), F.col("ingest_seq").cast("string").alias("record_key"), F.lit(0).alias("item_pos"), F.col("content").alias("text"))
+    if profiles is None:
+        return content.where("text is not null and record_key is not null")
     samples = profiles.select(F.lit("sample_values").alias("field"), F.col("db_id").alias("source"), F.col("column_no").cast("string").alias("record_key"), F.posexplode("sample_values").alias("item_pos", "text"))
     return content.unionByName(samples).where("text is not null and record_key is not null")
 
@@ -262,7 +264,7 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("field", "source", "encoding", F.col("most").alias("limit"), F.col("pile").alias("n_at_limit"))
 
 
-def judged(responses: DataFrame, profiles: DataFrame) -> DataFrame:
+def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     """(field, source, record_key, item_pos, cut boolean): the verdict on every text; see `truncated`."""
     # Full redeliveries are one text; the same key with another text stays.
     rows = cut(unfolded(responses, profiles).distinct().withColumn("rid", F.monotonically_increasing_id()))

@@ -94,7 +94,7 @@ _NAMED = {x: re.compile(rf"\b(?:in|auf|en|em|op|на)\s+(?:{n})\b", re.I) for x,
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 _FENCED = re.compile(r"\A```\w*\s*(.*?)\s*(?:```)?\Z", re.S)
 
-COPIED, SHINGLE, LEAST_COPY = 0.85, 3, 4
+COPIED, SHINGLE, LEAST_COPY = 0.85, 3, 5
 REFUSED, REFUSAL_WORDS = 0.8, 60
 LEAST_PROSE, SURE = 5, 0.9
 
@@ -148,9 +148,10 @@ class Judge:
         return False
 
     def copies(self, content: str, prompt: str) -> bool:
-        own = words(LEADS.sub("", content, count=1))
-        if len(own) < LEAST_COPY:
-            return False
+        said = LEADS.sub("", content, count=1)
+        own = words(said)
+        if len(said.split()) < LEAST_COPY:
+            return False  # a bare name is an answer
         given = words(prompt)
         n = min(SHINGLE, len(own))
         held = {tuple(given[i : i + n]) for i in range(len(given) - n + 1)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.llm import answers, groups, languages, leakage, neighbours, setjoin, truncation
+from kolonnade.llm import answers, groups, languages, leakage, mixture, neighbours, setjoin, truncation
 from kolonnade.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,13 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.defective(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "batch_requests"))
+
+
+@query("p8_selection")
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.plans import core_queries
+from kolonnade.plans import core_queries, profile_queries  # noqa: F401
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p2_found"](spark, sf_dir)
+    return queries()["value_collision_candidates"](spark, sf_dir)

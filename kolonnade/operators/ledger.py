@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kolonnade.functions.keys import ident
 
-#: Words in an error text that mean the service failed, not the answer.
+#: Error classes, and words in an error text without a class, that mean the service failed, not the answer.
+API_CLASSES = ("HTTP", "TIMEOUT")
 API_WORDS = ("timeout", "urlerror", "http error", "connection refused", "connection reset", "quota")
 DECISIONS = ("ADD_EDGE", "REJECT")
 
@@ -17,7 +18,7 @@ def api_error(error_class: Column, error: Column) -> Column:
     word = F.lit(False)
     for w in API_WORDS:
         word = word | text.contains(w)
-    return F.when(named != "", F.upper(named).startswith("API_")).otherwise(word)
+    return F.when(named != "", F.upper(named).startswith("API_") | F.upper(named).isin(*API_CLASSES)).otherwise(word)
 
 
 def latest(ledger: DataFrame, ok_only: bool) -> DataFrame:

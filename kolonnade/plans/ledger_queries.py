@@ -129,7 +129,7 @@ def table_pairs(spark, d):
 _ID = f"nullif(lower(trim({{0}}, {_BLANKS})), '')"
 LED = f"""WITH l AS (SELECT {_ID.format("candidate_id")} AS candidate, ingest_seq AS seq, status, parsed_payload.decision AS decision, parsed_payload.confidence AS confidence, error_class, error FROM verifier_decisions WHERE {_ID.format("candidate_id")} IS NOT NULL)"""
 _LAST = "SELECT candidate, any_value(n) AS n_rows, any_value(seq) AS seq, any_value(status) AS status, any_value(decision) AS decision, any_value(confidence) AS confidence, any_value(error_class) AS error_class, any_value(error) AS error FROM (SELECT *, count(*) OVER (PARTITION BY candidate) AS n, row_number() OVER (PARTITION BY candidate ORDER BY seq DESC) AS rn FROM l {0}) WHERE rn = 1 GROUP BY candidate"
-API = "CASE WHEN coalesce(error_class, '') <> '' THEN upper(error_class) LIKE 'API\\_%' ESCAPE '\\' ELSE regexp_matches(lower(coalesce(error, '')), 'timeout|urlerror|http error|connection refused|connection reset|quota') END"
+API = "CASE WHEN coalesce(error_class, '') <> '' THEN upper(error_class) LIKE 'API\\_%' ESCAPE '\\' OR upper(error_class) IN ('HTTP', 'TIMEOUT') ELSE regexp_matches(lower(coalesce(error, '')), 'timeout|urlerror|http error|connection refused|connection reset|quota') END"
 
 
 @query("ledger_latest_ok", f"{LED} {_LAST.format('''WHERE status = 'OK' ''')}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolonnade.plans import core_queries, ledger_queries, profile_queries  # noqa: F401
+from kolonnade.plans import core_queries, ledger_queries, profile_queries, serving_queries  # noqa: F401
 
 
 def queries() -> dict:

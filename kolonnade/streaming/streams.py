@@ -10,7 +10,11 @@ from kolonnade.session import scratch
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stream over the Parquet files of a folder, or over one file."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rpartition("/")
+    return source.option("pathGlobFilter", name).parquet(folder) if one else source.parquet(path)
 
 
 def windowed(events: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str = "2 days", watermark: bool = True) -> DataFrame:

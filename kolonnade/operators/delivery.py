@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kolonnade.functions.keys import ident
 from kolonnade.session import cut, scratch
@@ -71,11 +71,15 @@ class MessageStore:
             by_version.setdefault(state["homes"][h], []).append(h)
         out = None
         for version, names in sorted(by_version.items()):
-            part = self.spark.read.parquet(f"{self.path}/data/v{version}").withColumn(_HOME, F.col(_HOME).cast("string"))
-            part = part.where(F.col(_HOME).isin(names))
+            part = self._data(state, version).where(F.col(_HOME).isin(names))
             out = part if out is None else out.unionByName(part)
         return out
 
+    def _data(self, state: dict, version: int) -> DataFrame:
+        # With its schema a version without rows can be read too.
+        shape = T.StructType.fromJson(json.loads(state["schema"]))
+        return self.spark.read.schema(shape).parquet(f"{self.path}/data/v{version}")
+
     def read(self) -> DataFrame | None:
         """Columns: key, copies, good, seq, payload (struct), home. None before the first batch."""
         state = self.manifest()
@@ -86,7 +90,7 @@ class MessageStore:
         paths = [f"{self.path}/index/v{v}" for v in state["index"]]
         out = None
         for p in paths:
-            part = self.spark.read.parquet(p)
+            part = self.spark.read.schema(f"{_KEY} string, home string, bucket int").parquet(p)
             part = part if buckets is None else part.where(F.col("bucket").isin(list(buckets)))
             out = part if out is None else out.unionByName(part)
         return None if out is None else out.select(_KEY, F.col("home").alias("__known"))
@@ -106,6 +110,7 @@ class MessageStore:
             F.lit(1).cast("long").alias("copies"),
         ).where(F.col(_KEY).isNotNull())
         incoming = _winners(rows, bool(payload))
+        state["schema"] = incoming.schema.json()
         if state["index"]:
             # Small batches read the index buckets they touch only; the number of buckets is a parameter.
             incoming = incoming.withColumn("bucket", F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int"))
@@ -120,11 +125,11 @@ class MessageStore:
             fresh = incoming.where("__new").select("bucket", _KEY, F.col(_HOME).alias("home"))
         else:
             self._write(incoming, version)
-            written = self.spark.read.parquet(f"{self.path}/data/v{version}").withColumn(_HOME, F.col(_HOME).cast("string"))
+            written = self._data(state, version)
             touched = [r[0] for r in written.select(_HOME).distinct().collect()]
             fresh = written.select(F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int").alias("bucket"), _KEY, F.col(_HOME).alias("home"))
         fresh.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/index/v{version}")
-        state = {"version": version, "homes": state["homes"] | dict.fromkeys(touched, version), "index": [*state["index"], version]}
+        state = {"version": version, "schema": state["schema"], "homes": state["homes"] | dict.fromkeys(touched, version), "index": [*state["index"], version]}
         self._commit(state)
         return state
 

@@ -1,7 +1,7 @@
 """Unusable answers: empty, refused, copied from the prompt, in another language, cut off.
 
-Prompt and response are aligned by words: a response is a copy if nearly all of its three-word shingles stand
-in the prompt, or if nearly all of its words are a subsequence of the prompt. Refusals are aligned with
+Prompt and response are aligned by words: a response is a copy if shingles of three words that stand in the
+prompt cover nearly all of its words, or if nearly all of its words are a subsequence of the prompt. Refusals are aligned with
 templates by longest common subsequence.
 """
 
@@ -94,7 +94,7 @@ _NAMED = {x: re.compile(rf"\b(?:in|auf|en|em|op|на)\s+(?:{n})\b", re.I) for x,
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 _FENCED = re.compile(r"\A```\w*\s*(.*?)\s*(?:```)?\Z", re.S)
 
-COPIED, SHINGLE, LEAST_COPY = 0.85, 3, 5
+COPIED, SHINGLE, LEAST_COPY = 0.9, 3, 5
 REFUSED, REFUSAL_WORDS = 0.8, 60
 LEAST_PROSE, SURE = 5, 0.9
 
@@ -155,10 +155,12 @@ class Judge:
         given = words(prompt)
         n = min(SHINGLE, len(own))
         held = {tuple(given[i : i + n]) for i in range(len(given) - n + 1)}
-        inside = sum(tuple(own[i : i + n]) in held for i in range(len(own) - n + 1)) / (len(own) - n + 1)
-        if inside >= COPIED:
-            return True
-        return inside >= 0.5 and common_subsequence(own, given) >= 0.95 * len(own)
+        covered = [False] * len(own)
+        for i in range(len(own) - n + 1):
+            if tuple(own[i : i + n]) in held:
+                covered[i : i + n] = [True] * n
+        inside = sum(covered) / len(own)
+        return inside >= COPIED or inside >= 0.5 and common_subsequence(own, given) >= 0.95 * len(own)
 
     def language(self, text: str) -> str | None:
         """Language of most words of the prose of a text, if it has enough prose to tell."""

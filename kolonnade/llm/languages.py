@@ -61,13 +61,19 @@ def label_of(c: Column) -> Column:
 
 
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
-    """(n, bits) of +1 and -1: of many random codes the one whose nearest rows are farthest apart."""
+    """(n, bits) of +1 and -1: of many random codes the one whose nearest rows are farthest apart.
+
+    Every bit splits the languages, from four on with two at least on either side.
+    """
+    if n < 2:
+        return np.ones((n, bits), np.float32)
     rng, best, gap = np.random.default_rng(1), None, -1
+    pool = rng.choice([-1, 1], (n, 4000))
+    pool = pool[:, abs(pool.sum(axis=0)) < (n - 2 if n > 3 else n)]
     for _ in range(3000):
-        code = rng.choice([-1, 1], (n, bits))
-        split = abs(code.sum(axis=0)) < n - 2 if n > 3 else abs(code.sum(axis=0)) < n
-        far = (bits - code @ code.T)[~np.eye(n, dtype=bool)].min() // 2 + (0 if split.all() else -bits)
-        if far > gap or best is None:
+        code = pool[:, rng.integers(pool.shape[1], size=bits)]
+        far = (bits - code @ code.T)[~np.eye(n, dtype=bool)].min() // 2
+        if far > gap:
             best, gap = code, far
     return best.astype(np.float32)
 
@@ -142,7 +148,9 @@ class Reader:
         return v
 
     def read(self, batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language number, confidence and ambiguity of each list of words."""
+        """Language number, confidence and ambiguity of each list of words. A model of one language knows no other."""
+        if len(self.model.languages) == 1:
+            return np.zeros(len(batch), int), np.ones(len(batch)), np.zeros(len(batch), bool)
         sums = np.array([np.sum([self._word(w) for w in ws], axis=0) for ws in batch], np.float64)
         margin = SCALE * sums[:, :-1] / np.sqrt(sums[:, -1:])
         loss = np.logaddexp(0, -margin[:, None, :] * self.model.code[None]).sum(axis=2)
@@ -154,6 +162,8 @@ class Reader:
 
 def _fit(counts: np.ndarray, languages: tuple[str, ...]) -> Model:
     code = codewords(len(languages))
+    if len(languages) == 1:
+        return Model(languages, np.zeros((FEATURES, BITS), np.float32), code)
     share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
     plus = np.stack([share[code[:, b] > 0].mean(axis=0) for b in range(BITS)], axis=1)
     minus = np.stack([share[code[:, b] < 0].mean(axis=0) for b in range(BITS)], axis=1)
@@ -182,8 +192,6 @@ def train(labelled: Iterable[tuple[str, str]]) -> Model | None:
         return counts
 
     model = _fit(counted(rows), languages)
-    if len(languages) == 1:
-        return model
     read = model.reader().read([ws for _, ws in rows])[0]
     return _fit(counted(r for r, k in zip(rows, read) if languages[k] == r[0]), languages)
 

@@ -275,8 +275,8 @@ def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     length = F.coalesce(*[F.when(F.col("encoding") == e, c) for e, c in spelled.items()])
     # A limit per source: joined by broadcast only where Spark finds the table small enough.
     at_limit = texts.join(limits.select("field", F.col("source").alias("s"), "encoding", "limit"), (texts["source"] == F.col("s")) & (texts["field"] == limits["field"]), "left").select(texts["*"], F.coalesce(length >= F.col("limit"), F.lit(False)).alias("full"))
-    # A whole ending at the limit (stop, closed bracket) is a text that just fits.
-    stops = F.col("text").rlike("[.!?。！？:;}\\]`)\"]\\s*$")
+    # A whole ending at the limit (stop, closed bracket, nothing after it) is a text that just fits.
+    stops = F.col("text").rlike("[.!?。！？:;}\\]`)\"]\\z")
     rows = at_limit.withColumn("verdict", F.when(F.col("full") & ~F.coalesce("cut", F.lit(True)) & stops, F.lit(False)).when(F.col("full"), F.lit(True)).otherwise(F.col("cut")))
     rows = rows.withColumn("gram", F.when(F.col("verdict").isNull(), F.concat_ws(" ", "tail"))).withColumn("sql", F.when(F.col("verdict").isNull(), F.col("clause")))
     rows = cut(rows.drop("fixed", "cut", "full"))

@@ -15,6 +15,9 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 COMPARES = {"EqualTo": "=", "EqualNullSafe": "<=>", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "In": "IN", "Like": "LIKE", "ILike": "ILIKE", "UnresolvedBetween": "BETWEEN", "Between": "BETWEEN"}
 
+#: Comparisons that the parser leaves as calls.
+COMPARE_CALLS = {"between": "BETWEEN", "like": "LIKE", "ilike": "ILIKE"}
+
 
 def normalized(sql: str) -> str:
     """Without line comments and the final semicolon; double quotes after = and LIKE become single ones."""
@@ -144,10 +147,11 @@ def anchors(spark: SparkSession, sql: str, columns: dict[str, list[str]]) -> Anc
     refs = [r for n in _walk(root) if n.kind == "UnresolvedAttribute" and (r := resolve(n))]
     literals: list[tuple[str | None, str, str]] = []
     for n in _walk(root):
-        if n.kind in COMPARES:
+        operator = COMPARES.get(n.kind) or (COMPARE_CALLS.get(_names(n.data.get("nameParts"))[-1].lower()) if n.kind == "UnresolvedFunction" else None)
+        if operator:
             own = [r for c in n.children for x in _walk(c) if x.kind == "UnresolvedAttribute" and (r := resolve(x))]
             for c in n.children:
                 if c.kind == "Literal" and c.data.get("dataType") == "string":
                     text = str(c.data.get("value"))
-                    literals.append((own[0] if own else None, COMPARES[n.kind], text.strip("%") if "Like" in n.kind else text))
+                    literals.append((own[0] if own else None, operator, text.strip("%") if "LIKE" in operator else text))
     return Anchors(sorted({spelled[t] for t in used}), sorted(set(refs)), sorted(set(literals), key=str))

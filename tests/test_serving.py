@@ -99,7 +99,7 @@ def test_sql_anchors(spark):
     a = sqlanalysis.anchors(spark, "SELECT c.name FROM customer c JOIN orders ON c.id = orders.id WHERE status = \"F\" AND name LIKE '%ann%' AND c.id IN (SELECT id FROM orders WHERE Status BETWEEN 'a' AND 'b'); -- x", cols)
     assert a.tables == ["customer", "orders"] and set(a.columns) >= {"customer.name", "orders.Status", "customer.id"}
     assert {(r, t) for r, _, t in a.literals} >= {("orders.Status", "F"), ("customer.name", "ann"), ("orders.Status", "a"), ("orders.Status", "b")}
-    assert sqlanalysis.valid(spark, "SELECT 1") and not sqlanalysis.valid(spark, "SELECT FROM")
+    assert sqlanalysis.valid(spark, "SELECT 1") and not sqlanalysis.valid(spark, "SELECT a FROM (")
 
 
 def test_compare(spark):

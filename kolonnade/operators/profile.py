@@ -1,19 +1,26 @@
 """Column profiles: counts, exact length percentiles, samples, semantic modes and labels.
 
-Input everywhere: (ref, v) with all values of all columns as text, nulls included; one scan a table.
+Input everywhere: (ref, v) with all values of all columns as text, nulls included, or the same tallied as
+(ref, v, n); one scan a table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from kolonnade.session import cut
+
 SAMPLES, SAMPLE_CHARS, FETCHED = 5, 120, 40
 
 
+def tallied(values: DataFrame) -> DataFrame:
+    """(ref, v, n): how often each value occurs. Keyed by the value, so a column with many values is no hot group."""
+    return values if "n" in values.columns else values.groupBy("ref", "v").agg(F.count("*").alias("n"))
+
+
 def counts(values: DataFrame) -> DataFrame:
     """(ref, row_count, non_null_count, null_count, null_fraction, distinct_count, distinct_ratio)."""
-    # Values are made distinct by their own shuffle first, so a column with many values is no hot group.
-    per = values.groupBy("ref", "v").agg(F.count("*").alias("n"))
+    per = tallied(values)
     agg = per.groupBy("ref").agg(F.sum("n").alias("row_count"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null_count"), F.count("v").alias("distinct_count"))
     nulls = F.col("row_count") - F.col("non_null_count")
     return agg.select(
@@ -27,8 +34,9 @@ def lengths(values: DataFrame) -> DataFrame:
 
     Percentiles are taken of the histogram of lengths, which is as small as the range of lengths.
     """
-    histogram = values.groupBy("ref", F.length("v").alias("n")).agg(F.count("*").alias("f"))
-    return histogram.groupBy("ref").agg(F.expr("percentile(n, array(0.1, 0.5, 0.9), f)").alias("p")).select("ref", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p10", "p50", "p90"))])
+    times = F.col("n") if "n" in values.columns else F.lit(1)
+    histogram = values.groupBy("ref", F.length("v").alias("size")).agg(F.sum(times).alias("f"))
+    return histogram.groupBy("ref").agg(F.expr("percentile(size, array(0.1, 0.5, 0.9), f)").alias("p")).select("ref", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p10", "p50", "p90"))])
 
 
 def samples(values: DataFrame, limit: int = SAMPLES, max_chars: int = SAMPLE_CHARS, fetched: int = FETCHED) -> DataFrame:
@@ -37,7 +45,7 @@ def samples(values: DataFrame, limit: int = SAMPLES, max_chars: int = SAMPLE_CHA
     Clean: white space collapsed and trimmed, not empty, not longer than `max_chars`, each once. Columns
     without clean values have no rows.
     """
-    distinct = values.where("v is not null").distinct()
+    distinct = values.where("v is not null").select("ref", "v").distinct()
     first = distinct.withColumn("rn", F.row_number().over(W.partitionBy("ref").orderBy("v"))).where(F.col("rn") <= fetched)
     clean = first.withColumn("value", F.trim(F.regexp_replace("v", "\\s+", " "))).where((F.col("value") != "") & (F.length("value") <= max_chars))
     once = clean.groupBy("ref", "value").agg(F.min("rn").alias("rn"))
@@ -66,7 +74,7 @@ def value_mode(name: Column, kind: Column, distinct: Column, ratio: Column, bool
 def boolean_columns(values: DataFrame) -> DataFrame:
     """(ref, boolean): whether the non-blank values, at most 20 distinct, all lie in one boolean domain."""
     small = F.lower(F.trim("v"))
-    per = values.where("v is not null").groupBy("ref", "v").agg(F.lit(1).alias("one"))
+    per = tallied(values).where("v is not null")
     tests = [F.bool_and(small.isin(*d) | (small == "")) for d in BOOLEANS]
     flat = per.groupBy("ref").agg(F.count("*").alias("n"), F.count_if(small != "").alias("filled"), *[t.alias(f"b{i}") for i, t in enumerate(tests)])
     return flat.select("ref", ((F.col("n") <= 20) & (F.col("filled") > 0) & (F.col("b0") | F.col("b1") | F.col("b2") | F.col("b3"))).alias("boolean"))
@@ -74,6 +82,7 @@ def boolean_columns(values: DataFrame) -> DataFrame:
 
 def modes(values: DataFrame, columns: DataFrame) -> DataFrame:
     """(ref, value_mode) for catalog rows (ref, col, data_type)."""
+    values = values if "n" in values.columns else cut(tallied(values))
     joined = columns.select("ref", "col", "data_type").join(counts(values), "ref", "left").join(boolean_columns(values), "ref", "left")
     return joined.select("ref", value_mode(F.col("col"), F.col("data_type"), F.coalesce("distinct_count", F.lit(0)), F.coalesce("distinct_ratio", F.lit(0.0)), F.coalesce("boolean", F.lit(False))).alias("value_mode"))
 
@@ -105,6 +114,7 @@ def semantics(mode: Column, primary: Column, unique: Column, foreign: Column, ra
 
 def profile(values: DataFrame, columns: DataFrame) -> DataFrame:
     """The whole profile: catalog rows with counts, percentiles, mode, semantics and samples."""
+    values = values if "n" in values.columns else cut(tallied(values))
     listed = samples(values).groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).value.alias("sample_values"))
     out = columns.join(counts(values), "ref", "left").join(lengths(values), "ref", "left").join(boolean_columns(values), "ref", "left").join(listed, "ref", "left")
     mode = value_mode(F.col("col"), F.col("data_type"), F.coalesce("distinct_count", F.lit(0)), F.coalesce("distinct_ratio", F.lit(0.0)), F.coalesce("boolean", F.lit(False)))
@@ -121,7 +131,7 @@ def live_stats(values: DataFrame) -> DataFrame:
 
 def example_budget(values: DataFrame, limit: int = 5, budget: int = 100) -> DataFrame:
     """(ref, n_examples, examples): the longest run of the first `limit` values whose lengths add up to `budget` at most."""
-    first = values.where("v is not null").distinct().withColumn("rn", F.row_number().over(W.partitionBy("ref").orderBy("v"))).where(F.col("rn") <= limit)
+    first = values.where("v is not null").select("ref", "v").distinct().withColumn("rn", F.row_number().over(W.partitionBy("ref").orderBy("v"))).where(F.col("rn") <= limit)
     kept = first.withColumn("total", F.sum(F.length("v")).over(W.partitionBy("ref").orderBy("rn"))).where(F.col("total") <= budget)
     return kept.groupBy("ref").agg(F.count("*").alias("n_examples"), F.array_join(F.sort_array(F.collect_list(F.struct("rn", "v"))).v, " | ").alias("examples"))
 

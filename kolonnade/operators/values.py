@@ -17,7 +17,7 @@ MODES = ("CODE_OR_IDENTIFIER", "LOW_CARD_DOMAIN", "LONG_TEXT_HASH", "LABEL_TEXT"
 
 def domains(values: DataFrame, unicode: bool = False) -> DataFrame:
     """Distinct (ref, v) of normalised values without missing tokens; `unicode` normalises by NFKC and case folding."""
-    raw = values.where("v is not null").distinct()
+    raw = values.where("v is not null").select("ref", "v").distinct()
     plain = text.ascii_normal(F.col("v"))
     if unicode:
         odd = raw.where(F.length("v") != F.octet_length("v")).select("ref", text.nfkc_casefold("v").alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kolonnade.operators import lexical, profile, values
 from kolonnade.plans import columns as C
 from kolonnade.plans.core_queries import query
-from kolonnade.session import table
+from kolonnade.session import cut, table
 from kolonnade.sources import catalog as cat
 
 U = f"WITH u AS ({C.values_sql()}), cols AS ({C.columns_sql()})"
@@ -131,8 +131,8 @@ h AS (SELECT c.ref AS child_ref, p.ref AS parent_ref, count(*) AS n_values FROM
 SELECT h.* FROM h JOIN (SELECT ref, count(*) AS n FROM dv GROUP BY ref) z ON z.ref = child_ref AND z.n = n_values""",
 )
 def inferred_inclusion_deps(spark, d):
-    u = C.values(spark, d)
-    return cat.inclusion_dependencies(u.where("v is not null").distinct(), cat.unique_keys(profile.counts(u)))
+    tally = _tally(spark, d)
+    return cat.inclusion_dependencies(tally.where("v is not null").select("ref", "v"), cat.unique_keys(profile.counts(tally)))
 
 
 # -- names ------------------------------------------------------------------------------------------
@@ -214,12 +214,25 @@ round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap, round(contained_left
 ALL = f"{U}, {CNT}, {BOO}, {MODE}, {DOM}, {PAT}, {ELI}, {OVL}, {COL}"
 
 
-def _domain(spark, d):
-    return values.domains(C.values(spark, d))
+def _tally(spark, d):
+    """All values of the database, once each with their number; stored, since several parts of a query read them."""
+    return cut(profile.tallied(C.values(spark, d)))
 
 
-def _collisions(spark, d):
-    return values.collisions(_domain(spark, d), C.columns(spark, d), profile.modes(C.values(spark, d), C.columns(spark, d)))
+def _domain(spark, d, tally=None):
+    return values.domains(tally if tally is not None else C.values(spark, d))
+
+
+def _collisions(spark, d, tally=None, domain=None):
+    tally = tally if tally is not None else _tally(spark, d)
+    domain = domain if domain is not None else cut(values.domains(tally))
+    return values.collisions(domain, C.columns(spark, d), profile.modes(tally, C.columns(spark, d)))
+
+
+def _all(spark, d):
+    tally = _tally(spark, d)
+    domain = cut(values.domains(tally))
+    return tally, domain, cut(_collisions(spark, d, tally, domain).select("l", "r"))
 
 
 @query("value_patterns", f"{U}, {DOM}, {PAT} SELECT * FROM patd")
@@ -233,13 +246,14 @@ def value_patterns(spark, d):
 concat_ws(',', CASE WHEN bl THEN 'BOOLEAN_LIKE_DOMAIN' END, CASE WHEN dt THEN 'DATE_LIKE_DOMAIN' END, CASE WHEN n_values = 0 THEN 'EMPTY_DOMAIN' END, CASE WHEN nm THEN 'NUMERIC_MEASURE' END, CASE WHEN n_values = 1 THEN 'SINGLE_VALUE_DOMAIN' END) AS reasons FROM el""",
 )
 def value_eligibility(spark, d):
-    e = values.eligibility(_domain(spark, d), C.columns(spark, d), profile.modes(C.values(spark, d), C.columns(spark, d)))
+    tally = _tally(spark, d)
+    e = values.eligibility(cut(values.domains(tally)), C.columns(spark, d), profile.modes(tally, C.columns(spark, d)))
     return e.withColumns({"modes": F.array_join("modes", ","), "reasons": F.array_join("reasons", ",")})
 
 
 @query("value_overlap", f"{U}, {DOM}, {OVL} SELECT l, r, n_left, n_right, n_shared, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap, round(contained_left, 6) AS contained_left, round(contained_right, 6) AS contained_right FROM ov")
 def value_overlap(spark, d):
-    o = values.overlaps(_domain(spark, d))
+    o = values.overlaps(cut(_domain(spark, d)))
     return o.select("l", "r", "n_left", "n_right", "n_shared", *[F.round(c, 6).alias(c) for c in ("jaccard", "overlap", "contained_left", "contained_right")])
 
 
@@ -254,7 +268,8 @@ def value_collision_candidates(spark, d):
 SELECT l, r, string_agg(v, ' | ' ORDER BY v) AS examples FROM m GROUP BY l, r""",
 )
 def value_matched_examples(spark, d):
-    return values.matched_examples(_domain(spark, d), _collisions(spark, d).select("l", "r"))
+    _, domain, pairs = _all(spark, d)
+    return values.matched_examples(domain, pairs)
 
 
 REP = rf"reps AS (SELECT ref, trim(regexp_replace(lower(o), '\s+', ' ', 'g')) AS v, min(o) AS original FROM (SELECT ref, trim(v) AS o FROM u WHERE v IS NOT NULL) GROUP BY 1, 2 HAVING trim(regexp_replace(lower(any_value(o)), '\s+', ' ', 'g')) NOT IN {MISS})"
@@ -272,7 +287,8 @@ FROM co JOIN reps a ON a.ref = l JOIN reps b ON b.ref = r AND b.v = a.v)
 SELECT l, r, n_shared, string_agg(CASE WHEN length(o) > 25 THEN substring(o, 1, 25) || '...(' || (length(o) - 25) || ' more chars)' ELSE o END, ' | ' ORDER BY rn) AS samples FROM m WHERE rn <= 5 GROUP BY ALL""",
 )
 def overlap_samples(spark, d):
-    return values.overlap_samples(values.representatives(C.values(spark, d)), _collisions(spark, d).select("l", "r"), C.DB)
+    tally, _, pairs = _all(spark, d)
+    return values.overlap_samples(cut(values.representatives(tally)), pairs, C.DB)
 
 
 @query(
@@ -282,4 +298,5 @@ m AS (SELECT s.ref, s.other, a.v, row_number() OVER (PARTITION BY s.ref, s.other
 SELECT ref, other, string_agg(CASE WHEN length(v) > 25 THEN substring(v, 1, 25) || '...(' || (length(v) - 25) || ' more chars)' ELSE v END, ' | ' ORDER BY rn) AS samples FROM m WHERE rn <= 5 GROUP BY ALL""",
 )
 def endpoint_samples(spark, d):
-    return values.endpoint_samples(_domain(spark, d), _collisions(spark, d).select("l", "r"), C.DB)
+    _, domain, pairs = _all(spark, d)
+    return values.endpoint_samples(domain, pairs, C.DB)

@@ -8,7 +8,7 @@ from kolonnade.operators import compare, ledger, retrieval, search, sqlanalysis,
 from kolonnade.plans import columns as C
 from kolonnade.plans.core_queries import _BLANKS, query
 from kolonnade.plans.profile_queries import U
-from kolonnade.session import table
+from kolonnade.session import cut, table
 from kolonnade.streaming import streams
 
 #: Stated probes and literals.
@@ -33,9 +33,9 @@ VALS = "vals AS (SELECT DISTINCT u.ref, v FROM u JOIN idx USING (ref) WHERE v IS
 
 
 def _indexed(spark, d):
-    u = C.values(spark, d)
+    u = cut(C.values(spark, d).where("v is not null").distinct())
     keep = search.indexed_columns(u, C.columns(spark, d)).select("ref")
-    return u.where("v is not null and v <> ''").distinct().join(keep, "ref", "left_semi")
+    return u.where("v <> ''").join(keep, "ref", "left_semi")
 
 
 @query("lsh_value_selection", f"{U}, {IDX} SELECT * FROM idx")

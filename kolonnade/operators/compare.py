@@ -123,3 +123,31 @@ def clusters(spark: SparkSession, statements: Sequence[tuple[int, str]]) -> Data
 def accuracy(verdicts: DataFrame) -> DataFrame:
     """(n, n_correct, accuracy) of (question_id, correct)."""
     return verdicts.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
+
+
+def validated(spark: SparkSession, sql: str, most: int = 30) -> dict:
+    """{SQL, RESULT, STATUS}: the first rows of a statement, or its error."""
+    try:
+        return {"SQL": sql, "RESULT": [tuple(r) for r in spark.sql(sql).limit(most).collect()], "STATUS": "OK"}
+    except Exception as e:  # noqa: BLE001 - the error is the result
+        return {"SQL": sql, "RESULT": str(e).split("\n")[0], "STATUS": "ERROR"}
+
+
+def status(pred: DataFrame, gold: DataFrame) -> str:
+    """EMPTY, CORRECT or INCORRECT."""
+    return "EMPTY" if pred.isEmpty() else "CORRECT" if equal_results(gold, pred) else "INCORRECT"
+
+
+class PrintCache:
+    """Prints of results by statement; of more than `size` the one not used for longest goes."""
+
+    def __init__(self, size: int = 1000):
+        self.size = size
+        self.known: dict[str, tuple] = {}
+
+    def get(self, spark: SparkSession, sql: str) -> tuple:
+        found = self.known.pop(sql, None) or result_print(spark.sql(sql))
+        self.known[sql] = found
+        if len(self.known) > self.size:
+            self.known.pop(next(iter(self.known)))
+        return found

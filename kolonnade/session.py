@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if named:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kolonnade-"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -122,3 +123,37 @@ def inclusion_dependencies(values: DataFrame, keys: DataFrame) -> DataFrame:
     sizes = values.groupBy(F.col("ref").alias("child_ref")).agg(F.count("*").alias("n_values"))
     hits = values.select(F.col("ref").alias("child_ref"), "v").join(parents, "v").where("child_ref <> parent_ref").groupBy("child_ref", "parent_ref").agg(F.count("*").alias("hits"))
     return hits.join(sizes, "child_ref").where("hits = n_values").select("child_ref", "parent_ref", "n_values")
+
+
+def parse_ddl(text: str) -> list[tuple[str, str | None, str, str]]:
+    """(table, column, kind, definition) of the CREATE TABLE statements in a text; kind is `column` or `constraint`.
+
+    Commas and parentheses inside quotes and parentheses don't part definitions.
+    """
+    out: list[tuple[str, str | None, str, str]] = []
+    for m in re.finditer(r"create\s+table\s+(?:if\s+not\s+exists\s+)?(\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|[\w.]+)\s*\(", text, re.I):
+        depth, quote, start, parts, end = 1, "", m.end(), [], m.end()
+        for at in range(m.end(), len(text)):
+            ch = text[at]
+            if quote:
+                quote = "" if ch == quote else quote
+            elif ch in "'\"`":
+                quote = ch
+            elif ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if not depth:
+                    end = at
+                    break
+            elif ch == "," and depth == 1:
+                parts.append(text[start:at])
+                start = at + 1
+        if depth:
+            continue
+        for part in (p.strip() for p in [*parts, text[start:end]]):
+            if re.match(r"(?:constraint|primary\s+key|foreign\s+key|unique|check)\b", part, re.I):
+                out.append((m[1].strip('"`[]'), None, "constraint", part))
+            elif c := re.match(r"(\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|\w+)\s*(.*)\Z", part, re.S):
+                out.append((m[1].strip('"`[]'), c[1].strip('"`[]'), "column", c[2].strip()))
+    return out

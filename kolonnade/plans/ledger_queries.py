@@ -57,7 +57,7 @@ def embedding_docs(spark, d):
 SELECT view, count(*) AS n, count(*) FILTER (WHERE text = '') AS n_empty, any_value(n_duplicate_ids) AS n_duplicate_ids, count(*) FILTER (WHERE contains(lower(text), 'value:') OR contains(lower(text), 'sample:')) AS n_forbidden, count(*) FILTER (WHERE length(text) > 2000) AS n_long, max(length(text)) AS max_length FROM docs JOIN tw USING (view) GROUP BY view""",
 )
 def embedding_audit(spark, d):
-    return vectors.audit(vectors.embedding_documents(table(spark, d, "column_profiles")))
+    return vectors.audit(vectors.embedding_documents(table(spark, d, "column_profiles"))).withColumn("max_length", F.col("max_length").cast("long"))
 
 
 CACHE = """k AS (SELECT DISTINCT db_id, column_id FROM column_vectors WHERE record_version = 'v3' AND embedding_view = 'schema_semantic' AND embedding IS NOT NULL)"""
@@ -178,7 +178,7 @@ j AS (SELECT ingest_seq, CASE WHEN f <> '' THEN f ELSE g END AS o FROM b) SELECT
 )
 def verifier_json(spark, d):
     r = table(spark, d, "batch_responses").where("content is not null").select("ingest_seq", "content").distinct()
-    return r.select("ingest_seq", F.length(ledger.json_object(F.col("content"))).alias("n_chars")).where("n_chars is not null")
+    return r.select("ingest_seq", F.length(ledger.json_object(F.col("content"))).cast("long").alias("n_chars")).where("n_chars is not null")
 
 
 @query(

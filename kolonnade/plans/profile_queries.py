@@ -69,7 +69,7 @@ GROUP BY 1, 2) WHERE value <> '' AND length(value) <= 120 QUALIFY pos <= 5)"""
 
 @query("profile_samples", f"{U}, {SAMP} SELECT * FROM samp")
 def profile_samples(spark, d):
-    return profile.samples(C.values(spark, d))
+    return profile.samples(C.values(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
 SEM = """sem AS (SELECT c.ref, concat_ws('; ', CASE value_mode WHEN 'BOOLEAN_LIKE' THEN 'boolean flag' WHEN 'CODE_OR_IDENTIFIER' THEN 'code or identifier' WHEN 'DATE_LIKE' THEN 'date or time value' WHEN 'NUMERIC_MEASURE' THEN 'numeric measure'

@@ -82,7 +82,7 @@ def literal_existence(spark, d):
 FROM {_LV} JOIN (SELECT DISTINCT ref, v FROM u WHERE v IS NOT NULL AND v <> '') x ON x.ref = l.ref AND contains(lower(v), lower(literal)) AND v <> literal QUALIFY rank <= 3""",
 )
 def substring_candidates(spark, d):
-    return search.substring_candidates(_literals(spark), C.values(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return search.substring_candidates(_literals(spark), C.values(spark, d)).withColumns({"rank": F.col("rank").cast("long"), "distance": F.col("distance").cast("long")})
 
 
 @query(
@@ -288,7 +288,7 @@ def call_times(spark, d):
 def stream_windows(spark, d):
     shape = table(spark, d, "events").schema
     events = streams.follow(spark, f"{d}/events.parquet", shape).withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.finished(streams.windowed(events, "ts", "event_type", "value"))
+    return streams.finished(streams.windowed(events, "ts", "event_type", "value")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
@@ -308,7 +308,7 @@ USER_SQL = {
     "user_sql_region_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     "user_sql_semi": "SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') GROUP BY o_orderpriority",
     "user_sql_anti": "SELECT c_mktsegment, count(*) AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY c_mktsegment",
-    "user_sql_window": "SELECT s_suppkey, s_nationkey, rk FROM (SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rk FROM supplier) t WHERE rk <= 2",
+    "user_sql_window": "SELECT s_suppkey, s_nationkey, rk FROM (SELECT s_suppkey, s_nationkey, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS rk FROM supplier) t WHERE rk <= 2",
     "user_sql_set_ops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0",
     "user_sql_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "user_sql_cte": "WITH x AS (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey) SELECT s_name, q FROM x JOIN supplier ON s_suppkey = l_suppkey WHERE q > (SELECT avg(q) FROM x)",

@@ -21,12 +21,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kolonnade.functions.text import MISSING
 from kolonnade.llm.batches import whole_groups
 from kolonnade.session import cut
 
-#: Normalised values that stand for a missing one.
-MISSING = ("", "null", "none", "n/a", "na", "nan", "unknown", "not available")
-
 TREES = 14
 LEAF = 128
 LEVELS = 6

@@ -15,4 +15,5 @@ def stripped(c: Column) -> Column:
 
 def ident(c: Column) -> Column:
     """Comparison form of an identifier: stripped, lower case; null if nothing is left."""
-    return F.nullif(F.lower(stripped(c)), F.lit(""))
+    low = F.lower(stripped(c))
+    return F.when(low != "", low)  # nullif would keep Spark from pruning nested columns

@@ -45,14 +45,7 @@ def _count(frames: Iterator[pd.DataFrame], folder: str, vocabulary: str) -> Iter
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     encoding = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     for f in frames:
-        # A run without any cut would make the merges quadratic; very long texts go line by line, whole.
-        yield f[["doc_id", "source", "h"]].assign(n_tokens=[_length(encoding, t) for t in f["text"]])
-
-
-def _length(encoding, text: str) -> int:
-    if len(text) < 100_000:
-        return len(encoding.encode_ordinary(text))
-    return sum(len(encoding.encode_ordinary(line)) for line in text.splitlines(keepends=True))
+        yield f[["doc_id", "source", "h"]].assign(n_tokens=[len(encoding.encode_ordinary(t)) for t in f["text"]])
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

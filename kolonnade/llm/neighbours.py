@@ -6,6 +6,10 @@ a range also receives the first stretch of the next one. In each range a window
 vectors and keeps, for every vector, the best of its window; the windows of all curves are merged and ranked
 by exact cosines. One shuffle serves all curves.
 
+Keys are fine enough to order the inside of a cluster of near-copies, on every curve another way, and ranges are
+split on them. Where cosines tie, the least identifiers win, wherever they stand in the cluster: a cell with more
+vectors than a window is led by as many of its least identifiers, and all its vectors are compared with them.
+
 Vectors of one direction (equal to nine decimals) are one point of the curves; their identifiers come back
 in the ranking, so copies neither fill windows nor make pairs among all of them.
 """
@@ -20,15 +24,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kolonnade.session import cut
 
-CURVES, AXES, BITS = 24, 6, 8
+CURVES, AXES, BITS = 24, 6, 20
+#: Bytes of a key that make a cell, for one curve after the other: widths of about 3e-3, 5e-4 and 8e-5 on unit vectors.
+CELL_BYTES = (6, 8, 10)
 WINDOW = 256
 RANGE_ROWS = 20_000
 HALO = 1 / 16
 SPREAD = 3.5
 
 
-def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Hilbert index of integer points (n, axes), `axes * bits` <= 62: Gray code, axis by axis and bit by bit."""
+def _walk(cells: np.ndarray, bits: int) -> np.ndarray:
+    """(axes, n) numbers whose bits, axis by axis and the highest first, make the Hilbert index: Gray code, axis by axis and bit by bit."""
     x = cells.astype(np.int64).T.copy()
     axes = len(x)
     for b in range(bits - 1, 0, -1):
@@ -43,27 +49,46 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     parity = np.zeros_like(x[0])
     for b in range(bits - 1, 0, -1):
         parity ^= np.where((x[-1] & (1 << b)) != 0, (1 << b) - 1, 0)
-    x ^= parity
+    return x ^ parity
+
+
+def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert index of integer points (n, axes), `axes * bits` <= 62."""
+    x = _walk(cells, bits)
     key = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
-        for i in range(axes):
+        for i in range(len(x)):
             key = (key << 1) | ((x[i] >> b) & 1)
     return key
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Hilbert index of integer points (n, axes) as byte strings in the order of the index, of any length."""
+    x = _walk(cells, bits)
+    digits = (x.T[:, None, :] >> np.arange(bits - 1, -1, -1)[:, None]) & 1
+    packed = np.packbits(digits.reshape(len(cells), bits * len(x)).astype(np.uint8), axis=1)
+    return np.ascontiguousarray(packed).view(f"S{packed.shape[1]}").ravel()
+
+
 def curve_keys(unit: np.ndarray, curves: int, seed: int) -> np.ndarray:
-    """(n, curves) Hilbert indexes of unit vectors; the same seed gives the same curves everywhere."""
+    """(n, curves) Hilbert indexes of unit vectors as byte strings; the same seed gives the same curves everywhere."""
     rng, dim = np.random.default_rng(seed), unit.shape[1]
     axes = min(AXES, dim)
-    out = np.empty((len(unit), curves), np.int64)
+    out = np.empty((len(unit), curves), f"S{-(-BITS * axes // 8)}")
     for t in range(curves):
         axis = np.linalg.qr(rng.standard_normal((dim, axes)))[0]
         spot = unit @ axis * np.sqrt(dim) + SPREAD + rng.random(axes)
         cells = np.clip(spot / (2 * SPREAD + 1) * (1 << BITS), 0, (1 << BITS) - 1)
-        out[:, t] = hilbert_index(cells.astype(np.int64), BITS)
+        out[:, t] = hilbert_bytes(cells.astype(np.int64), BITS)
     return out
 
 
+def _full(keys: np.ndarray) -> list[bytes]:
+    """Byte strings with the zeros at their ends."""
+    width, raw = keys.dtype.itemsize, np.ascontiguousarray(keys).tobytes()
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
 def _pack(matrix: np.ndarray) -> list[bytes]:
     """Bytes of each row: four a number where that loses nothing, else eight."""
     short = matrix.astype(np.float32)
@@ -90,19 +115,40 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, keep: int) -> pd.DataFram
     return pd.DataFrame({"q": q[top], "c": c[top], "s": s[top]})
 
 
-def _windows(frames: Iterator[pd.DataFrame], dim: int, floor: float, keep: int, window: int, block: int = 256) -> Iterator[pd.DataFrame]:
-    """Slide over rows ordered by (slot, key): each row against the `window` rows before it in its slot."""
+def _windows(frames: Iterator[pd.DataFrame], dim: int, floor: float, keep: int, window: int, ranges: int, block: int = 256) -> Iterator[pd.DataFrame]:
+    """Slide over rows ordered by (slot, key): each row against the `window` rows before it in its slot, and the heads of its cell."""
     slot, ids, unit = None, np.zeros(0, np.int64), np.zeros((0, dim))
+    cell, head_ids, head_unit = None, ids, unit
     for frame in frames:
         for at in range(0, len(frame), 4096):
             chunk = frame.iloc[at : at + 4096]
             for own, part in chunk.groupby("slot", sort=True):
                 if own != slot:
                     slot, ids, unit = own, ids[:0], unit[:0]
-                before = len(ids)
-                ids = np.concatenate([ids, part["gid"].to_numpy()])
-                unit = np.concatenate([unit, _unit(part["blob"], dim)])
+                    cell, head_ids, head_unit = None, head_ids[:0], head_unit[:0]
                 qs, cs, ss = [], [], []
+                part_ids, part_unit, heads = part["gid"].to_numpy(), _unit(part["blob"], dim), part["head"].to_numpy()
+                if cell is not None or heads.any():
+                    width = CELL_BYTES[own // ranges % len(CELL_BYTES)]
+                    cells = [k[:width] for k in part["key"]]
+                    starts = [i for i in range(len(cells)) if not i or cells[i] != cells[i - 1]]
+                    for lo, hi in zip(starts, [*starts[1:], len(cells)]):
+                        if cells[lo] != cell:
+                            cell, head_ids, head_unit = None, head_ids[:0], head_unit[:0]
+                        first = lo + int(heads[lo:hi].sum())
+                        if first > lo:
+                            cell = cells[lo]
+                            head_ids = np.concatenate([head_ids, part_ids[lo:first]])
+                            head_unit = np.concatenate([head_unit, part_unit[lo:first]])
+                        if cell is None or first == hi:
+                            continue
+                        sims = np.round(part_unit[first:hi] @ head_unit.T, 6)
+                        i, j = np.nonzero((sims >= floor) & (part_ids[first:hi, None] != head_ids))
+                        b = _best(part_ids[first:hi][i], head_ids[j], sims[i, j], keep)
+                        qs, cs, ss = ([*have, b[x].to_numpy()] for have, x in ((qs, "q"), (cs, "c"), (ss, "s")))
+                before = len(ids)
+                ids = np.concatenate([ids, part_ids[~heads]])
+                unit = np.concatenate([unit, part_unit[~heads]])
                 for lo in range(before, len(ids), block):
                     hi, left = min(lo + block, len(ids)), max(0, lo - window)
                     sims = np.round(unit[lo:hi] @ unit[left:hi].T, 6)
@@ -164,36 +210,58 @@ def nearest_pairs(
         for f in frames:
             raw = np.stack(f["v"].to_numpy())
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            yield pd.DataFrame({"gid": f["gid"], "blob": _pack(raw), "keys": list(curve_keys(unit, curves, seed))})
+            yield pd.DataFrame({"gid": f["gid"], "blob": _pack(raw), "keys": [_full(ks) for ks in curve_keys(unit, curves, seed)]})
 
-    points = cut(points.mapInPandas(keyed, "gid long, blob binary, keys array<long>"))
+    points = cut(points.mapInPandas(keyed, "gid long, blob binary, keys array<binary>"))
     n = points.count()
     ranges = max(1, -(-n // RANGE_ROWS))
     shares = sorted({i / ranges for i in range(1, ranges)} | {(i + HALO) / ranges for i in range(1, ranges)})
-    edges = np.zeros((curves, 0), np.int64)
+    size = -(-BITS * min(AXES, dim) // 8)
+    edges = [np.zeros(0, f"S{size}")] * curves
     if shares and n:
-        # As many numbers as there are ranges, not rows.
-        found = points.agg(*[F.percentile_approx(F.col("keys")[t], shares, max(10_000, 64 * ranges)).alias(f"k{t}") for t in range(curves)]).first()
-        edges = np.array([found[t] for t in range(curves)], np.int64)
+        # As many keys as there are ranges, not rows.
+        some = points.where(F.pmod(F.xxhash64("gid", F.lit(seed)), F.lit(max(1, n // max(10_000, 64 * ranges)))) == 0)
+
+        def quantiles(f: pd.DataFrame) -> pd.DataFrame:
+            keys = np.sort(f["key"].to_numpy().astype(f"S{size}"))
+            return pd.DataFrame({"t": f["t"].iloc[0], "i": range(len(shares)), "key": _full(keys[[int(x * len(keys)) for x in shares]])})
+
+        found = some.select(F.posexplode("keys").alias("t", "key")).groupBy("t").applyInPandas(quantiles, "t int, i int, key binary").collect()
+        edges = [np.array([bytes(r.key) for r in sorted(found, key=lambda r: r.i) if r.t == t], f"S{size}") for t in range(curves)]
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keys = np.stack(f["keys"].to_numpy())
+            keys = np.array(f["keys"].tolist(), f"S{size}").reshape(len(f), curves)
             for t in range(curves):
                 place = np.searchsorted(edges[t], keys[:, t], side="right")  # even: own range only, odd: halo of the range before
                 slot = t * ranges + (place + 1) // 2
-                out = pd.DataFrame({"slot": slot, "key": keys[:, t], "gid": f["gid"].to_numpy(), "blob": f["blob"].to_numpy()})
+                out = pd.DataFrame({"slot": slot, "key": _full(keys[:, t]), "gid": f["gid"].to_numpy(), "blob": f["blob"].to_numpy(), "head": False})
                 halo = out[place % 2 == 1]
                 yield pd.concat([out, halo.assign(slot=halo["slot"] - 1)]) if len(halo) else out
 
-    placed = points.mapInPandas(spread, "slot long, key long, gid long, blob binary")
+    def lead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Heads to all ranges that hold a part of their cell."""
+        for f in frames:
+            slots = []
+            for t, cell in zip(f["t"], f["cell"]):
+                low, high = np.searchsorted(edges[t], np.array([cell, cell.ljust(size, b"\xff")], f"S{size}"), side="right")
+                slots.append([t * ranges + i for i in range(low // 2, (high + 1) // 2 + 1)])
+            yield f.assign(slot=slots, head=True).explode("slot").astype({"slot": "int64"}).rename(columns={"cell": "key"})[["slot", "key", "gid", "blob", "head"]]
+
+    shape = "slot long, key binary, gid long, blob binary, head boolean"
+    width = F.element_at(F.array(*map(F.lit, CELL_BYTES)), F.col("t") % len(CELL_BYTES) + 1)
+    cells = points.select("gid", F.posexplode("keys").alias("t", "key")).select("gid", "t", F.substring("key", F.lit(1), width).alias("cell"))
+    large = cells.groupBy("t", "cell").count().where(F.col("count") > window).drop("count")
+    first = W.partitionBy("t", "cell").orderBy("gid")
+    heads = cells.join(large, ["t", "cell"]).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= window).join(points.select("gid", "blob"), "gid")
+    placed = points.mapInPandas(spread, shape).unionByName(heads.select("t", "cell", "gid", "blob").mapInPandas(lead, shape))
     tasks = min(curves * ranges, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + curves * ranges // 8)
     near = (
         placed.repartition(tasks, "slot")
-        .sortWithinPartitions("slot", "key", "gid")
-        .mapInPandas(lambda frames: _windows(frames, dim, floor, keep, window), "q long, c long, s double")
+        .sortWithinPartitions("slot", "key", F.col("head").desc(), "gid")
+        .mapInPandas(lambda frames: _windows(frames, dim, floor, keep, window, ranges), "q long, c long, s double")
     )
-    # At most curves * windows a task * keep candidates a point.
+    # At most curves * windows a task * keep candidates a point, and as many by heads.
     ranked = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("s")).alias("s"), "c"))), 1, keep).alias("best"))
     ids = firsts.groupBy("gid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     others = ranked.select("q", F.explode("best").alias("b")).select("q", F.col("b.c").alias("gid"), F.col("b.s").alias("s"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from kolonnade.llm.neighbours import curve_keys, hilbert_index, nearest_pairs
 
@@ -70,3 +71,13 @@ def test_empty_and_single(spark):
 def test_same_curves_everywhere():
     u = np.eye(96)[:5]
     assert (curve_keys(u, 3, 7) == curve_keys(u[:2], 3, 7)[[0, 1, 0, 0, 0]])[:2].all()
+
+
+@pytest.mark.parametrize("jitter,recall", [(2e-5, 0.99), (2e-4, 0.99), (3e-2, 0.95)])
+def test_cluster_of_near_copies(spark, jitter, recall):
+    # Cosines within the cluster: all 1.000000; few values; all different. Ids stand in no order along the curves.
+    rng = np.random.default_rng(5)
+    centre, ids = rng.standard_normal(96), rng.permutation(4000)
+    rows = [(int(i), (centre + jitter * rng.standard_normal(96)).tolist()) for i in ids] + [(10_000 + i, v) for i, v in clusters(600, 6)]
+    want, got = brute(rows), run(spark, rows)
+    assert len(got & want) >= recall * len(want) and len(got - want) <= (1 - recall) * len(got)

@@ -2,7 +2,8 @@
 
 Prompt and response are aligned by words: a response is a copy if shingles of three words that stand in the
 prompt cover nearly all of its words, or if nearly all of its words are a subsequence of the prompt. Refusals are aligned with
-templates by longest common subsequence.
+templates by longest common subsequence, in every sentence of a response, however long; what declines in one
+sentence and yet gives SQL, values or a column is an answer.
 """
 
 from __future__ import annotations
@@ -94,8 +95,22 @@ _NAMED = {x: re.compile(rf"\b(?:in|auf|en|em|op|на)\s+(?:{n})\b", re.I) for x,
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 _FENCED = re.compile(r"\A```\w*\s*(.*?)\s*(?:```)?\Z", re.S)
 
+#: Statements; words that name a column as the answer, before and behind it.
+_STATEMENT = re.compile(r"\bSELECT\b.+?\bFROM\b\s*\S+|\bINSERT\s+INTO\s+\S+|\bDELETE\s+FROM\s+\S+|\bUPDATE\s+\S+\s+SET\b|(?i:^\W*select\s[^.?!]+?\sfrom\s+\S+)", re.S | re.M)
+_BLOCK = re.compile(r"```\w*\s*(.*?)\s*(?:```|\Z)", re.S)
+_NAME = r"[`\"'«]?(?P<{}>\w+(?:[_.]\w+)+|(?-i:\w*[a-z][A-Z]\w*))"
+_CHOICE = re.compile(
+    rf"\A\W*(?:(?:but|so|still|however|aber|also|mais|donc|pero|así que)\W+)?(?:use|choose|pick|take|nimm|verwende|nutze|utilise[rz]?|choisissez|usa|use|elige)\s+{_NAME.format('a')}"
+    rf"|{_NAME.format('b')}\W+(?:is the (?:one|best|right|safer|answer)|fits|holds|contains|stores|passt|enthält|speichert|ist die (?:beste|richtige)|convient|contient|est (?:le|la) (?:meilleur|bon)|contiene|corresponde|es (?:la|el) (?:mejor|correct))",
+    re.I,
+)
+#: Keys and words of JSON that say how a request went and answer nothing.
+STATES = {"status", "state", "error", "type", "role", "code", "model", "id", "request_id", "stage"}
+NO_VALUES = {"refused", "refusal", "declined", "denied", "rejected", "error", "failed", "unknown", "false", "true", "no"}
+
 COPIED, SHINGLE, LEAST_COPY = 0.9, 3, 5
-REFUSED, REFUSAL_WORDS = 0.8, 60
+#: Share of a template's words that a refusal has in order, and words that may stand between them.
+REFUSED, BETWEEN = 0.8, 14
 LEAST_PROSE, SURE = 5, 0.9
 
 
@@ -132,21 +147,64 @@ class Judge:
         self.reader = model.reader() if model else None
         self.templates = [words(line) for line in REFUSALS.strip().splitlines()]
         self.vocabulary = [set(t) for t in self.templates]
+        self.users: dict[str, list[int]] = {}
+        for k, v in enumerate(self.vocabulary):
+            for w in v:
+                self.users.setdefault(w, []).append(k)
+
+    def declines(self, ws: list[str]) -> bool:
+        """Whether a template stands in the words of a sentence, with at most `BETWEEN` words more than its own."""
+        shared: dict[int, int] = {}
+        for w in set(ws):
+            for k in self.users.get(w, ()):
+                shared[k] = shared.get(k, 0) + 1
+        for k, n in shared.items():
+            t, v = self.templates[k], self.vocabulary[k]
+            need, most = len(t) if len(t) < 5 else REFUSED * len(t), len(t) + BETWEEN
+            if n + len(t) - len(v) < need:
+                continue
+            begins = [i for i, w in enumerate(ws) if w in v] if len(ws) > most else [0]
+            if any(common_subsequence(t, ws[i : i + most]) >= need for i in begins):
+                return True
+        return False
 
-    def refuses(self, content: str) -> bool:
-        if len(content) > 8 * REFUSAL_WORDS + 200:
-            return False
-        sentences = [words(s) for s in _SENTENCE.split(content) if s.strip()]
-        if sum(map(len, sentences)) > REFUSAL_WORDS:
+    def refuses(self, content: str, prompt: str = "") -> bool:
+        """Whether a sentence that isn't the prompt's declines, and nothing else in the content answers."""
+        sentences = [(s, words(s)) for s in _SENTENCE.split(content) if s.strip()]
+        said = [ws for _, ws in sentences if self.declines(ws)]
+        if not said:
             return False
-        for ws in sentences[:2]:
-            held = set(ws)
-            for t, v in zip(self.templates, self.vocabulary):
-                need = len(t) if len(t) < 5 else REFUSED * len(t)
-                if len(held & v) + len(t) - len(v) >= need and len(ws) <= len(t) + 14 and common_subsequence(t, ws) >= need:
+        asked = {tuple(words(s)) for s in _SENTENCE.split(prompt)}
+        return any(tuple(ws) not in asked for ws in said) and not self.answers(content, [s for s, ws in sentences if ws not in said], prompt)
+
+    def answers(self, content: str, rest: list[str], prompt: str) -> bool:
+        """Whether a content that declines holds SQL or values besides, or names a column of the prompt as the answer."""
+        given = " ".join(prompt.split())
+        if any(" ".join(m.group().split()) not in given for m in _STATEMENT.finditer(content)):
+            return True
+        for block in (_bare(content), *_BLOCK.findall(content), content[content.find("{") : content.rfind("}") + 1]):
+            if block[:1] in "{[" and block:
+                try:
+                    found = json.loads(block, strict=False)
+                except ValueError:
+                    continue
+                if self.valued(found):
                     return True
+        for m in filter(None, map(_CHOICE.search, rest)):
+            if (m["a"] or m["b"]).rstrip(".").lower() in given.lower():
+                return True
         return False
 
+    def valued(self, x) -> bool:
+        """Whether JSON holds a value: a name or word, not a number, a sentence, a placeholder or a state."""
+        if isinstance(x, dict):
+            return any(self.valued(v) for k, v in x.items() if k.lower() not in STATES)
+        if isinstance(x, list):
+            return any(map(self.valued, x))
+        if not isinstance(x, str) or is_empty(x) or x.strip().lower() in NO_VALUES:
+            return False
+        return len(x.split()) <= 4 and x.strip()[-1] not in ".!?" and not self.declines(words(x))
+
     def copies(self, content: str, prompt: str) -> bool:
         said = LEADS.sub("", content, count=1)
         own = words(said)
@@ -209,7 +267,7 @@ class Judge:
     def defect(self, content: str | None, prompt: str) -> str | None:
         if is_empty(content):
             return "empty"
-        if self.refuses(content):
+        if self.refuses(content, prompt):
             return "refusal"
         if self.copies(content, prompt):
             return "copy"

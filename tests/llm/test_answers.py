@@ -37,6 +37,34 @@ def test_defects(judge, content, prompt, defect):
     assert judge.defect(content, prompt) == defect
 
 
+REASONS = "The data behind this request belongs to another department and its owner has not agreed to any use so far. "
+
+
+@pytest.mark.parametrize(
+    "content,defect",
+    [
+        # Long ones, and ones that decline late.
+        ("I'm sorry for the delay. " + REASONS * 3 + "For these reasons I cannot provide an answer to this. " + REASONS * 4, "refusal"),
+        ("Thank you for asking. I have read the request with care. I can't help with this request.", "refusal"),
+        (REASONS * 8 + "I must decline to produce this query.", "refusal"),
+        ("Because the owner of the data has not agreed to any use by people outside of the department and nobody there could be reached before the end of the week, I cannot comply with this request.", "refusal"),
+        ('{"decision": null, "confidence": 0.0, "reason_summary": "' + REASONS * 6 + 'I have to refuse this one."}', "refusal"),
+        (REASONS * 4 + "I can't answer this question.\nYou could use another column of the table or ask the owner instead.", "refusal"),
+        # Answers in spite of a sentence that declines.
+        ("I can't answer this question for all years. For the last one:\n```sql\nSELECT price FROM route_list_7\n```", None),
+        ('{"decision": "ADD_EDGE", "reason_summary": "I can\'t answer this question for all years."}', None),
+        ("I can't answer this question for all years. Use route_list_7.price for the last one, or route_list_7 as a whole.", None),
+    ],
+)
+def test_refusals_of_any_length(judge, content, defect):
+    assert judge.defect(content, PROMPT + "\nroute_list_7.price, route_list_7.city") == defect
+
+
+def test_refusal_in_the_prompt_is_none(judge):
+    asked = PROMPT + "\nI can't answer this question."
+    assert not judge.refuses("The note reads as follows.\nI can't answer this question.", asked)
+
+
 def test_common_subsequence():
     a, b = "a b c d e f".split(), "b x d a f".split()
 

@@ -113,8 +113,8 @@ class MessageStore:
         state["schema"] = incoming.schema.json()
         if state["index"]:
             # Small batches read the index buckets they touch only; the number of buckets is a parameter.
-            incoming = incoming.withColumn("bucket", F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int"))
-            known = self._index(state, None)
+            incoming = cut(incoming.withColumn("bucket", F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int")))
+            known = self._index(state, [r[0] for r in incoming.select("bucket").distinct().collect()])
             incoming = cut(incoming.join(known, _KEY, "left").withColumn("__new", F.col("__known").isNull()).withColumn(_HOME, F.coalesce("__known", _HOME)).drop("__known"))
             touched = [r[0] for r in incoming.select(_HOME).distinct().collect()]  # as many as there are homes
             history = self._homes(state, [h for h in touched if h in state["homes"]])
@@ -173,20 +173,23 @@ def delivered_feed(decisions: DataFrame, responses: DataFrame) -> DataFrame:
 def redelivered(decisions: DataFrame, responses: DataFrame) -> DataFrame:
     """Identifiers in more than one row, with the row that is kept.
 
-    The ledger up to the middle of `ingest_seq` is loaded as history; what came later is merged as a batch
+    Each feed up to the middle of its own `ingest_seq` is loaded as history; what came later is merged as a batch
     through the index. Rows without `ingest_seq` belong to the batch. Empty tables give an empty result.
     """
     spark = decisions.sparkSession
     feed = delivered_feed(decisions, responses)
-    middle = feed.agg((F.max("seq") / 2).alias("m")).first()["m"]
+    name = F.split("key", "\n", 2)[0]
+    middle = F.lit(None).cast("double")
+    for feed_name, m in feed.where("key is not null").groupBy(name).agg(F.max("seq") / 2).collect():  # one row a feed
+        middle = F.when(name == feed_name, F.lit(m)).otherwise(middle)
     store = MessageStore(spark, scratch(spark, "messages"))
     args = (F.col("key"), F.col("seq"), F.col("good"), F.col("home"))
-    early = F.coalesce(F.col("seq") <= F.lit(middle), F.lit(False))
+    early = F.coalesce(F.col("seq") <= middle, F.lit(False))
     store.merge(feed.where(early), *args)
     store.merge(feed.where(~early), *args)
     kept = store.read()
     if kept is None:
         kept = spark.createDataFrame([], "key string, copies long, seq long")
     return kept.where("copies > 1").select(
-        F.split("key", "\n", 2)[0].alias("feed"), F.split("key", "\n", 2)[1].alias("message_id"), F.col("seq").alias("kept_seq")
+        name.alias("feed"), F.split("key", "\n", 2)[1].alias("message_id"), F.col("seq").alias("kept_seq")
     )

@@ -102,5 +102,28 @@ def test_redelivered(spark):
     assert sorted(map(tuple, got.collect())) == [("batch_responses", "a", 7), ("verifier_decisions", "a", 1), ("verifier_decisions", "b", 4)]
 
 
+def test_both_feeds_have_history_and_batch(spark, monkeypatch):
+    taken, whole = [], MessageStore.merge
+
+    def merge_seen(self, batch, *args):
+        taken.append(sorted((r["key"].split("\n")[0][0], r["seq"]) for r in batch.where("key is not null and seq is not null").collect()))
+        return whole(self, batch, *args)
+
+    monkeypatch.setattr(MessageStore, "merge", merge_seen)
+    got = feeds(spark, [("a", 10, "OK"), ("a", 100, "OK"), ("b", 90, None)], [("a", 1, True), ("a", 4, False), ("c", 3, True), ("c", None, True)])
+    assert sorted(map(tuple, got.collect())) == [("batch_responses", "a", 1), ("batch_responses", "c", 3), ("verifier_decisions", "a", 100)]
+    assert taken == [[("b", 1), ("v", 10)], [("b", 3), ("b", 4), ("v", 90), ("v", 100)]]
+
+
+def test_only_touched_buckets_of_the_index_are_read(spark, monkeypatch):
+    store, read, whole = MessageStore(spark, scratch(spark, "t")), [], MessageStore._index
+    monkeypatch.setattr(MessageStore, "_index", lambda self, state, buckets: read.append(buckets) or whole(self, state, buckets))
+    merge(store, spark.createDataFrame([(f"k{i}", i, True, "h", None, "") for i in range(100)], SHAPE))
+    merge(store, spark.createDataFrame([("k7", 200, True, "h", None, ""), ("k7", 201, False, "z", None, "")], SHAPE))
+    (bucket,) = spark.range(1).select(F.pmod(F.xxhash64(F.lit("k7")), F.lit(16)).cast("int")).first()
+    assert read == [[bucket]]
+    assert {r["key"]: r["copies"] for r in store.read().collect()} == {f"k{i}": 3 if i == 7 else 1 for i in range(100)}
+
+
 def test_redelivered_empty(spark):
     assert feeds(spark, [], []).count() == 0

@@ -3,16 +3,17 @@
 In every tree a set follows each of its tokens with probability 1 / (threshold * size), decided by a hash of
 the path and the token that all sets share: two sets at the threshold are expected to meet in at least one
 child of a node they share. Nodes with few sets are compared all against all by sketches of one-bit
-minima, larger ones branch again; trees are repeated until the wanted recall is reached. Survivors are
-verified on the whole sets.
+minima, larger ones branch again. There are as many trees as the worst pairs need for the wanted recall where
+they stay in large nodes down to the last level. Survivors are verified on the whole sets.
 
 Equal sets are one set in the trees. A node that is still large at the last level (sets that share nearly
-everything) is compared in blocks, so no task gets more than two blocks and no pair is lost.
+everything) is compared in blocks, so no task gets more than two blocks and no pair of the node is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,11 +26,25 @@ from kolonnade.functions.text import MISSING
 from kolonnade.llm.batches import whole_groups
 from kolonnade.session import cut
 
-TREES = 14
 LEAF = 128
 LEVELS = 6
 BLOCK = 512
 SKETCH_WORDS = 4
+RECALL = 0.999
+
+
+def trees_for(recall: float, levels: int) -> int:
+    """Trees that bring a pair at the threshold together on the last level with probability `recall`.
+
+    The worst pair is a set inside another: one common child a node is expected, Poisson at most as badly spread.
+    """
+    lost = 0.0
+    for _ in range(levels):
+        lost = math.exp(lost - 1)
+    return math.ceil(math.log(1 - recall) / math.log(lost))
+
+
+TREES = trees_for(RECALL, LEVELS)
 
 
 def normal_value(v: str) -> str:

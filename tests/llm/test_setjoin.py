@@ -50,6 +50,13 @@ def test_nodes_that_stay_large_are_compared_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows) and len(brute(rows)) == 80 * 79 // 2
 
 
+def test_recall_of_nested_sets_on_the_last_level(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LEAF", 1)
+    rows = [(2 * g + k, [f"v{g}-{x}" for x in range(n)], None) for g in range(1500) for k, n in enumerate((30, 50))]
+    got = run(spark, rows)
+    assert got <= {(2 * g, 2 * g + 1) for g in range(1500)} and len(got) >= 0.995 * 1500
+
+
 def test_dirt_copies_and_fallback(spark):
     a = ["Straße", "a  b", "c", "d", "e", "f"]
     rows = [

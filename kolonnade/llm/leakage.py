@@ -19,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from kolonnade.llm.filters import filter_of, has
 from kolonnade.llm.words import Hasher, shingle_hashes, words
 from kolonnade.session import cut
 
@@ -129,32 +130,12 @@ def item_texts(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return texts.select("tid", "exact", "m", "words"), held, cut(sketches)
 
 
-def _bit(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - bits)
-
-
-def sketch_filter(sketches: DataFrame) -> np.ndarray:
-    """Bits of all keys of the sketches, packed; at most 2**FILTER_BITS of them, whatever the number of items."""
-    bits = int(min(FILTER_BITS, max(16, np.ceil(np.log2(1 + sketches.count())) + 5)))
-    x = sketches.select(F.explode(F.array(_bit(F.col("key"), bits), _bit(F.col("ckey"), bits))).alias("x")).select((F.col("x") + 1).alias("x"))
-    pages = x.groupBy(F.bitmap_bucket_number("x").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()  # at most 2**FILTER_BITS / 2**15
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in pages:
-        out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def partitions(sketches: DataFrame) -> list[Partition]:
     """One a size class and kind of shingle: as many as lengths have powers of `SIZE_STEP`."""
     found = sketches.groupBy("cls", "kind").agg(F.min("need").alias("need"), F.max("m").alias("longest")).collect()
     return [Partition(r["kind"], r["need"], r["longest"], r["cls"] if r["cls"] == QUOTES else 16 * r["cls"] + r["kind"]) for r in found]
 
 
-def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - (len(bitmap).bit_length() - 1) - 3)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _hits(stream: np.ndarray, doc: np.ndarray, parts: list[Partition], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, key, reach) of the shingles of the stream that may belong to a sketch and have enough like them nearby."""
     places, keys, reach = [], [], []
@@ -163,12 +144,12 @@ def _hits(stream: np.ndarray, doc: np.ndarray, parts: list[Partition], bitmap: n
         if len(stream) < span:
             continue
         own = _keys(stream, kind)
-        at = np.flatnonzero(_has(bitmap, own))
+        at = np.flatnonzero(has(bitmap, own))
         at = at[doc[at] == doc[at + span - 1]]
         own = own[at]
         for p in (p for p in parts if p.kind == kind):
             mine = _mix(own, p.salt)
-            ok = _has(bitmap, mine)
+            ok = has(bitmap, mine)
             pos, key = at[ok], mine[ok]
             if p.need > 1:
                 if len(pos) < p.need:
@@ -263,7 +244,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     texts, held, sketches = item_texts(items)
-    bitmap, parts = spark.sparkContext.broadcast(sketch_filter(sketches)), partitions(sketches)
+    bitmap, parts = spark.sparkContext.broadcast(filter_of(sketches, ["key", "ckey"], FILTER_BITS)), partitions(sketches)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     stretches = cut(rows.mapInPandas(lambda fs: _stretches(fs, parts, bitmap), "doc_id long, at int, digest binary, words binary, keys array<long>, places array<int>"))
     where = ["doc_id", "at", "digest"]

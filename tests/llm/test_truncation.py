@@ -57,6 +57,12 @@ def test_limit_of_a_source_whatever_stands_at_the_cut(spark):
     assert sure <= got <= want
 
 
+def limits(spark, rows):
+    t = spark.createDataFrame(rows, "field string, source string, text string")
+    lens = F.array(*[T.encoded_lengths(F.col("text"))[e] for e in T.ENCODINGS])
+    return T.hidden_limits(t.select("field", "source", lens.alias("lens"), F.lit(True).alias("open"))).collect()
+
+
 @pytest.mark.parametrize("encoding", ["utf8", "entities", "json", "newlines"])
 def test_limits_hidden_by_an_encoding(spark, encoding):
     r = random.Random(5)
@@ -71,11 +77,39 @@ def test_limits_hidden_by_an_encoding(spark, encoding):
             text += "x"
         rows.append((i, "m", text))
     rows += [(500 + i, "m", sentence(r).replace("& ", "")) for i in range(100)]
-    t = spark.createDataFrame([("content", m, x, None, ["w"], False) for _, m, x in rows], "field string, source string, text string, cut boolean, tail array<string>, fixed boolean")
-    (limit,) = T.hidden_limits(t).collect()
+    (limit,) = limits(spark, [("content", m, x) for _, m, x in rows])
     assert (limit["encoding"], limit["limit"]) == (encoding, 180)
 
 
+def test_an_old_and_a_new_limit(spark):
+    r = random.Random(9)
+    rows = [("content", "m", "x" * r.randrange(20, 300)) for _ in range(900)] + [("content", "m", f"{i:05d}" + "x" * 95) for i in range(40)] + [("content", "m", f"{i:05d}" + "x" * 295) for i in range(60)]
+    assert sorted((x["encoding"], x["limit"]) for x in limits(spark, rows)) == [("characters", 100), ("characters", 300)]
+
+
+def test_a_limit_in_bytes_steps_back_to_a_whole_character(spark):
+    r = random.Random(10)
+    texts = [" ".join(w + "é" * (r.random() < 0.5) for w in whole(r).replace(".", "").split() * 3) for _ in range(150)]
+    cut = [t.encode()[:60].decode(errors="ignore") for t in texts]
+    assert any(len(t.encode()) == 59 for t in cut)
+    free = [(1000 + i, "open", sentence(r)) for i in range(100)]
+    got = run(spark, [(i, "m", t) for i, t in enumerate(cut)] + free)
+    assert {k for f, k, p in got} == {str(i) for i in range(150)}
+
+
+def test_few_texts_at_a_limit_of_other_sources(spark):
+    r = random.Random(11)
+    rows = [(100 * s + i, f"s{s}", " ".join([sentence(r)] * 4)[:90]) for s in range(4) for i in range(30)] + [(900, "small", " ".join([sentence(r)] * 4)[:90]), (901, "small", sentence(r))]
+    got = {k for f, k, p in run(spark, rows)}
+    assert "900" in got and "901" not in got
+
+
+def test_one_word_that_begins_a_known_one(spark):
+    words = ["Category", "Harbor", "Mill", "Johansson"]
+    profiles = [(i, "d", [f"{w} {i}", w, f"{w} of {i}"]) for i in range(20) for w in words] + [(500, "d", ["Categ", "Mill", "Harbo", "Zoe", "Cat"])]
+    assert {p for f, k, p in run(spark, [], profiles) if k == "500"} == {0, 2, 4}
+
+
 def test_sample_values(spark):
     r = random.Random(6)
     names = ["Harbor", "Amber", "Meadow", "Linden", "Cedar", "Violet"]

@@ -46,7 +46,7 @@ _SQL_TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|[\w$]+(?:\.[\w$]+)*|<=|>=|<>
 _SQL_START = re.compile(r"(?:\A|\n)\s*(?:select\s|with\s+\w+\s+as\s*\()", re.I)
 _DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"\A(?=.{10,35}\Z)[0-9a-f]{8}-[0-9a-f]{0,4}(?:-[0-9a-f]{0,4}){0,2}(?:-[0-9a-f]{0,11})?\Z", re.I)
-_PATH = re.compile(r"[^\W\d]\w*\.[^\W\d]")
+_PATH = re.compile(r"[^\W\d][\w$ ]*\w\.[^\W\d][\w$ ]*\Z")
 _CLOSE = "\"'”’»)]*_"
 _FIXED = re.compile(r"\A(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[-+]?\d+(?:[.,]\d+)?|\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?Z?)?)\Z", re.I)
 
@@ -163,7 +163,7 @@ def ending(text: str) -> tuple[bool | None, list[str], str | None]:
         return None, [_mask(last)] if last[0].isalpha() else [], clause
     if t.rstrip(_CLOSE)[-1:] in ".!?:;。！？" or t[-1] in "}]":
         return False, [], None
-    if _FIXED.match(t) or len(words) < 2 and not t.isalpha() or len(words) <= 3 and _PATH.match(t):
+    if _FIXED.match(t) or len(words) < 2 and not t.isalpha() or len(words) <= 5 and _PATH.match(t):
         return False, [], None
     if len(t) < len(text) and text[len(t)] == " ":
         return True, [], None
@@ -309,7 +309,7 @@ def encoded_lengths(c: Column) -> dict[str, Column]:
     return {
         "characters": n,
         "utf8": F.octet_length(c),
-        "utf16": n + (n - F.length(F.regexp_replace(c, "[\\x{10000}-\\x{10FFFF}]", ""))),
+        "utf16": F.when(F.octet_length(c) == n, n).otherwise(n + (n - F.length(F.regexp_replace(c, "[\\x{10000}-\\x{10FFFF}]", "")))),
         "entities": n + 4 * many("&") + 3 * many("<>") + 5 * many("\"'"),
         "json": n + many("\"\\\n\r\t\b\f"),
         "newlines": n + crlf,

@@ -39,7 +39,7 @@ def test_endings_and_transfer_cuts(spark):
     cases = {
         1000: (whole(r) + " The loader copies the gro", True), 1001: (whole(r) + " Our planner keeps the", True), 1002: (whole(r)[:-1], False), 1003: (whole(r)[:30] + "…", True), 1004: (whole(r) + "�", True),
         1005: ('{"a": [1, 2], "b": "x', True), 1006: ('{"a": [1, 2], "b": "x"}', False), 1007: ("```sql\nSELECT a FROM b", True), 1008: ("```sql\nSELECT a FROM b WHERE c = 1\n```", False), 1009: ("SELECT a FROM b WHERE c IN (SELECT d", True),
-        1010: ("SELECT a FROM b WHERE c =", True), 1011: ("SELECT a FROM b WHERE c = 'x y'", False), 1012: ("ADD_EDGE", False), 1013: ("t_1.col name", False), 1014: ("", False), 1015: (None, False), 1016: (whole(r) + "\nSee: and so on ...", False),
+        1010: ("SELECT a FROM b WHERE c =", True), 1011: ("SELECT a FROM b WHERE c = 'x y'", False), 1012: ("ADD_EDGE", False), 1013: ("t_1.col name", False), 1020: ("Visit Status 9566.language", False), 1021: ("Version 2.1 of the nightl", True), 1014: ("", False), 1015: (None, False), 1016: (whole(r) + "\nSee: and so on ...", False),
         1017: (whole(r) + " The loa", True), 1018: ("SELECT a, count(*) FROM b GROUP BY a ORDER BY a DESC LIM", True), 1019: (whole(r) + " Our planner ", True),
     }
     rows = corpus() + [(k, "open", t) for k, (t, _) in cases.items()]

@@ -40,8 +40,11 @@ PER_LABEL, SAMPLE_CHARS = 600, 20_000
 BITS = 15
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3, 4)
+#: Confidence with which a sentence tells its language, and a sentence of fewer words than `LEAST_WORDS`.
 LEAST_WORDS = 4
-SURE = 0.9
+SURE, SURE_SHORT = 0.9, 0.995
+#: Texts without labels that function words label, to fit on them.
+SAMPLE = 30_000
 #: Scale of the mean log odds of a sentence's n-grams before the loss.
 SCALE = 0.25
 
@@ -131,29 +134,44 @@ class Model:
         return Reader(self)
 
 
+class _Words(dict):
+    """Numbers of words; their summed log odds and numbers of n-grams are the rows of `rows`."""
+
+    def __init__(self, model: Model, limit: int):
+        self.model, self.limit = model, limit
+        self.rows = np.zeros((1024, BITS + 1), np.float32)
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self)
+        if n >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        g = _grams(w)
+        self.rows[n, :BITS] = self.model.weights[g].sum(axis=0)
+        self.rows[n, BITS] = len(g)
+        return n
+
+
 class Reader:
     """Scores sentences; remembers the summed log odds of words it has seen."""
 
     def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
-        self.known: dict[str, np.ndarray] = {}
-
-    def _word(self, w: str) -> np.ndarray:
-        v = self.known.get(w)
-        if v is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            g = _grams(w)
-            v = self.known[w] = np.append(self.model.weights[g].sum(axis=0), np.float32(len(g)))
-        return v
+        self.known = _Words(model, limit)
 
     def read(self, batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language number, confidence and ambiguity of each list of words. A model of one language knows no other."""
+        """Language number, confidence and ambiguity of each list of words (none empty). A model of one language knows no other."""
         if len(self.model.languages) == 1:
             return np.zeros(len(batch), int), np.ones(len(batch)), np.zeros(len(batch), bool)
-        sums = np.array([np.sum([self._word(w) for w in ws], axis=0) for ws in batch], np.float64)
+        if len(self.known) > self.limit:
+            self.known = _Words(self.model, self.limit)
+        sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+        ids = np.fromiter(map(self.known.__getitem__, (w for ws in batch for w in ws)), np.int64, int(sizes.sum()))
+        sums = np.add.reduceat(self.known.rows[ids].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
         margin = SCALE * sums[:, :-1] / np.sqrt(sums[:, -1:])
-        loss = np.logaddexp(0, -margin[:, None, :] * self.model.code[None]).sum(axis=2)
+        # log(1 + e^-m) of both signs of each bit; a codeword takes one of them.
+        plus, minus = np.logaddexp(0, -margin), np.logaddexp(0, margin)
+        one = (self.model.code > 0).astype(np.float64)
+        loss = plus @ one.T + minus @ (1 - one).T
         order = np.sort(loss, axis=1)
         p = np.exp(order[:, :1] - loss)
         sure = (p / p.sum(axis=1, keepdims=True)).max(axis=1)
@@ -205,14 +223,14 @@ def fit(documents: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     return train((r["label"], r["text"]) for r in rows)
 
 
-def _segments(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+def _sentences(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     reader = model.reader()
     for frame in frames:
         spans, batch = [], []
         for doc, text in zip(frame["doc_id"], frame["text"]):
             for begin, end, full, prose in sentences(text):
                 ws = natural_words(prose)
-                if len(ws) >= LEAST_WORDS:
+                if ws:
                     spans.append((doc, begin, end, full, len(ws)))
                     batch.append(ws)
         if batch:
@@ -221,30 +239,107 @@ def _segments(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataF
             yield out.assign(lang=[model.languages[k] for k in lang], confidence=sure, ambiguous=unsure)
 
 
-SEGMENTS = "doc_id long, begin int, end int, full boolean, n_words int, lang string, confidence double, ambiguous boolean"
+SENTENCES = "doc_id long, begin int, end int, full boolean, n_words int, lang string, confidence double, ambiguous boolean"
+STRETCHES = "doc_id long, begin int, end int, lang string, n_sentences int, n_words int, confidence double"
+
+
+def _read(documents: DataFrame, model: Model | None, reading, shape: str) -> DataFrame:
+    model = model or fit(documents)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    if model is None:
+        return documents.sparkSession.createDataFrame([], shape)
+    return rows.mapInPandas(lambda fs: reading(fs, model), shape)
 
 
 def sentence_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, begin, end, full, n_words, lang, confidence, ambiguous): the prose sentences of all documents.
 
-    Sentences with fewer than `LEAST_WORDS` words besides names, SQL, tables and fenced code have no language.
-    Null and empty texts and null ids give no rows; repeated rows give repeated rows. Without any labelled
-    document there is no model and the result is empty.
+    Sentences of names and digits alone, SQL, tables and fenced code have no language. Null and empty texts and
+    null ids give no rows; repeated rows give repeated rows. Without any labelled document there is no model and
+    the result is empty.
     """
-    model = model or fit(documents)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    if model is None:
-        return documents.sparkSession.createDataFrame([], SEGMENTS)
-    return rows.mapInPandas(lambda fs: _segments(fs, model), SEGMENTS)
+    return _read(documents, model, _sentences, SENTENCES)
+
+
+def _settled(n_words: int, confidence: float, ambiguous: bool) -> bool:
+    """Whether a sentence alone tells its language: few words do only with more confidence."""
+    return not ambiguous and confidence >= (SURE if n_words >= LEAST_WORDS else SURE_SHORT)
+
+
+def _stretches(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    """Runs of sentences of one language. Sentences that don't tell go with the run before them, else with the one after."""
+    for frame in _sentences(frames, model):
+        rows: list[list] = []
+        waiting: list[tuple] = []
+        last = None
+        for doc, begin, end, n, lang, sure, unsure in zip(*(frame[c].tolist() for c in ("doc_id", "begin", "end", "n_words", "lang", "confidence", "ambiguous"))):
+            if doc != last or rows and begin < rows[-1][2] or waiting and begin < waiting[-1][2]:
+                # Another document, or a repeated row of the same.
+                rows += _unsettled(waiting)
+                waiting, last, fresh = [], doc, True
+            if not _settled(n, sure, unsure):
+                if fresh:
+                    waiting.append((doc, begin, end, lang, 1, n, sure * n))
+                else:
+                    rows[-1][2], rows[-1][4], rows[-1][5] = end, rows[-1][4] + 1, rows[-1][5] + n
+                    rows[-1][6] += sure * n * (lang == rows[-1][3])
+                continue
+            if fresh or rows[-1][3] != lang:
+                rows.append([doc, begin, end, lang, 0, 0, 0.0])
+                for _, b, _, other, k, m, c in waiting:
+                    rows[-1][1], rows[-1][4], rows[-1][5] = min(b, rows[-1][1]), rows[-1][4] + k, rows[-1][5] + m
+                    rows[-1][6] += c * (other == lang)
+                waiting, fresh = [], False
+            rows[-1][2], rows[-1][4], rows[-1][5], rows[-1][6] = end, rows[-1][4] + 1, rows[-1][5] + n, rows[-1][6] + sure * n
+        rows += _unsettled(waiting)
+        out = pd.DataFrame(rows, columns=["doc_id", "begin", "end", "lang", "n_sentences", "n_words", "confidence"])
+        yield out.assign(confidence=out["confidence"] / out["n_words"])
+
+
+def _unsettled(waiting: list[tuple]) -> list[list]:
+    """Sentences of a document none of which tells: one stretch of the language with the largest sum of confidence."""
+    if not waiting:
+        return []
+    sums: dict[str, float] = {}
+    for _, _, _, lang, _, _, c in waiting:
+        sums[lang] = sums.get(lang, 0.0) + c
+    lang = max(sorted(sums), key=sums.__getitem__)
+    return [[waiting[0][0], waiting[0][1], waiting[-1][2], lang, len(waiting), sum(w[5] for w in waiting), sums[lang]]]
+
+
+def language_stretches(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, begin, end, lang, n_sentences, n_words, confidence): each document cut where its language changes.
+
+    `begin` and `end` are places of characters. Sentences too short or too alike between languages to tell go
+    with their neighbours; the confidence of a stretch is the mean over its words, where those sentences count
+    with what they give its language. Nulls and repeated rows as in `sentence_languages`; a document whose
+    sentences all fail to tell is one stretch of low confidence; one without prose has none.
+    """
+    return _read(documents, model, _stretches, STRETCHES)
 
 
 def document_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang, n_sentences, n_words, confidence): the languages in which a document has a full sentence.
 
-    The confidence is the mean over the sentences, weighted by words. Ambiguous sentences don't count.
+    The confidence is the mean over the sentences, weighted by words. Sentences that don't tell their language
+    alone don't count, unless no sentence of the document does: then the language with the largest sum of
+    confidence is given, with its low confidence (their share of all words).
     """
-    sure = sentence_languages(documents, model).where(F.col("full") & ~F.col("ambiguous") & (F.col("confidence") >= SURE)).drop("full").distinct()
-    return sure.groupBy("doc_id", "lang").agg(F.count("*").alias("n_sentences"), F.sum("n_words").cast("long").alias("n_words"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence"))
+    settled = ~F.col("ambiguous") & (F.col("confidence") >= F.when(F.col("n_words") >= LEAST_WORDS, SURE).otherwise(SURE_SHORT))
+    full = sentence_languages(documents, model).where("full").withColumn("settled", settled).drop("full").distinct()
+    weight = F.col("confidence") * F.col("n_words")
+    by = full.groupBy("doc_id", "lang").agg(
+        F.count_if("settled").alias("s_sentences"), F.sum(F.when(F.col("settled"), F.col("n_words"))).alias("s_words"), F.sum(F.when(F.col("settled"), weight)).alias("s_weight"),
+        F.count("*").alias("sentences"), F.sum("n_words").alias("words"), F.sum(weight).alias("weight"),
+    )
+    # At most as many rows a document as there are languages.
+    doc = W.partitionBy("doc_id")
+    by = by.withColumns({"told": F.max("s_sentences").over(doc) > 0, "all_words": F.sum("words").over(doc), "place": F.row_number().over(doc.orderBy(F.desc("weight"), "lang"))})
+    told = F.col("told")
+    return by.where(F.when(told, F.col("s_sentences") > 0).otherwise(F.col("place") == 1)).select(
+        "doc_id", "lang", F.when(told, F.col("s_sentences")).otherwise(F.col("sentences")).alias("n_sentences"), F.when(told, F.col("s_words")).otherwise(F.col("words")).cast("long").alias("n_words"),
+        F.when(told, F.col("s_weight") / F.col("s_words")).otherwise(F.col("weight") / F.col("all_words")).alias("confidence"),
+    )
 
 
 def relabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -283,14 +378,17 @@ def seeded(ws: list[str]) -> str | None:
 _FUNCTION_SETS = {x: frozenset(s.split()) for x, s in FUNCTION_WORDS.items()}
 
 
-def fit_unlabelled(texts: DataFrame, per_label: int = PER_LABEL) -> Model | None:
-    """Like `fit`, for a column `text` without labels: function words label the sample."""
+def fit_unlabelled(texts: DataFrame, per_label: int = PER_LABEL, sample: int = SAMPLE) -> Model | None:
+    """Like `fit`, for a column `text` without labels: function words label about `sample` texts, picked by a hash."""
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(label=[seeded([w for *_, prose in sentences(t) for w in natural_words(prose)]) for t in f["text"]])
 
-    some = texts.where(f"length(text) between 20 and {SAMPLE_CHARS}").select("text").mapInPandas(label, "text string, label string").where("label is not null")
+    usable = texts.where(f"length(text) between 20 and {SAMPLE_CHARS}").select("text", F.xxhash64("text").alias("h"))
+    # Rows of one text go or stay together.
+    parts = max(1, usable.count() // sample)
+    some = usable.where(F.pmod("h", F.lit(parts)) == 0).select("text").distinct().mapInPandas(label, "text string, label string").where("label is not null")
     pick = W.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     rows = some.withColumn("rn", F.row_number().over(pick)).where(F.col("rn") <= per_label).select("label", "text").collect()
     return train((r["label"], r["text"]) for r in rows)

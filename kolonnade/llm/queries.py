@@ -64,7 +64,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p9_segments")
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.sentence_languages(table(spark, sf_dir, "documents")).distinct()
+    return languages.language_stretches(table(spark, sf_dir, "documents")).distinct()
+
+
+@query("p9_documents")
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(table(spark, sf_dir, "documents"))
 
 
 @query("p1_found")

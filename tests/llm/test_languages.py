@@ -73,6 +73,19 @@ def test_segments_carry_place_and_confidence(spark, model):
     assert all(0.9 <= r["confidence"] <= 1 and not r["ambiguous"] for r in rows)
 
 
+def test_stretches_are_merged(spark, model):
+    text = " ".join(LINES["en"]) + " Hm. " + " ".join(LINES["de"][:2]) + "\n" + LINES["ru"][1]
+    rows = sorted(L.language_stretches(frame(spark, [(1, text, None), (1, text, None), (2, LINES["fr"][0], None), (3, None, None), (4, "SELECT a FROM b", None)]), model).distinct().collect(), key=lambda r: (r["doc_id"], r["begin"]))
+    assert [(r["doc_id"], r["lang"], r["n_sentences"]) for r in rows] == [(1, "en", 4), (1, "de", 2), (1, "ru", 1), (2, "fr", 1)]
+    assert text[rows[1]["begin"] : rows[1]["end"]].strip() == " ".join(LINES["de"][:2]) and all(0.5 < r["confidence"] <= 1 for r in rows)
+
+
+def test_short_sentences_and_documents_without_a_sure_one(spark, model):
+    got = {(r["doc_id"], r["lang"]): r["confidence"] for r in L.document_languages(frame(spark, [(1, "Das wird gespeichert.", "en"), (2, "Zzz.", "en"), (3, LINES["nl"][0] + " Ja.", "en")]), model).collect()}
+    assert got[1, "de"] > 0.5 and got[3, "nl"] > 0.9 and {d for d, _ in got} == {1, 2, 3} and len(got) == 3
+    assert min(v for (d, _), v in got.items() if d == 2) < L.SURE_SHORT
+
+
 def test_few_words_are_ambiguous_or_unread(model):
     assert list(L.sentences("")) == []
     assert model.reader().read([["zzz", "qqq", "xxx", "kkk"]])[1][0] < 0.999

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,7 +112,8 @@ NO_VALUES = {"refused", "refusal", "declined", "denied", "rejected", "error", "f
 COPIED, SHINGLE, LEAST_COPY = 0.9, 3, 5
 #: Share of a template's words that a refusal has in order, and words that may stand between them.
 REFUSED, BETWEEN = 0.8, 14
-LEAST_PROSE, SURE = 5, 0.9
+#: Words of prose that tell a language, and words of a full sentence that do where there is less.
+LEAST_PROSE, LEAST_SAID = 5, 3
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -168,6 +170,11 @@ class Judge:
                 return True
         return False
 
+    def may_decline(self, ws: list[str]) -> bool:
+        """Whether the words of a whole content hold as many of a template as a sentence needs."""
+        shared = Counter(k for w in set(ws) for k in self.users.get(w, ()))
+        return any(n + len(self.templates[k]) - len(self.vocabulary[k]) >= (len(self.templates[k]) if len(self.templates[k]) < 5 else REFUSED * len(self.templates[k])) for k, n in shared.items())
+
     def refuses(self, content: str, prompt: str = "") -> bool:
         """Whether a sentence that isn't the prompt's declines, and nothing else in the content answers."""
         sentences = [(s, words(s)) for s in _SENTENCE.split(content) if s.strip()]
@@ -206,40 +213,57 @@ class Judge:
         return len(x.split()) <= 4 and x.strip()[-1] not in ".!?" and not self.declines(words(x))
 
     def copies(self, content: str, prompt: str) -> bool:
+        """Whether a content gives back the prompt or a part of it. Under `LEAST_COPY` words it must be all of it, or its question: a bare name is an answer."""
         said = LEADS.sub("", content, count=1)
-        own = words(said)
+        own, given = words(said), words(prompt)
         if len(said.split()) < LEAST_COPY:
-            return False  # a bare name is an answer
-        given = words(prompt)
+            return len(own) > 1 and (own == given or said.rstrip().endswith("?") and any(own == words(q) for q in _SENTENCE.split(prompt) if q.rstrip().endswith("?")))
+        # Both tests ask for most words to stand in the prompt somewhere.
+        held = set(given)
+        if sum(w in held for w in own) < COPIED * len(own):
+            return False
         n = min(SHINGLE, len(own))
-        held = {tuple(given[i : i + n]) for i in range(len(given) - n + 1)}
+        shingles = {tuple(given[i : i + n]) for i in range(len(given) - n + 1)}
         covered = [False] * len(own)
         for i in range(len(own) - n + 1):
-            if tuple(own[i : i + n]) in held:
+            if tuple(own[i : i + n]) in shingles:
                 covered[i : i + n] = [True] * n
         inside = sum(covered) / len(own)
         return inside >= COPIED or inside >= 0.5 and common_subsequence(own, given) >= 0.95 * len(own)
 
-    def language(self, text: str) -> str | None:
-        """Language of most words of the prose of a text, if it has enough prose to tell."""
-        batch = [ws for *_, prose in languages.sentences(text) if len(ws := languages.natural_words(prose)) >= languages.LEAST_WORDS]
-        if not batch or not self.reader or sum(map(len, batch)) < LEAST_PROSE:
-            return None
-        found, sure, unsure = self.reader.read(batch)
-        weight: dict[int, int] = {}
-        for k, s, u, ws in zip(found, sure, unsure, batch):
-            if s >= SURE and not u:
-                weight[k] = weight.get(k, 0) + len(ws)
-        return self.model.languages[max(weight, key=lambda k: (weight[k], -k))] if weight else None
-
-    def wanted(self, prompt: str) -> str | None:
-        """The language a prompt asks for, else the one it is written in."""
-        for s in _SENTENCE.split(prompt):
-            if _ASKS.search(s):
-                for x, name in _NAMED.items():
-                    if name.search(s):
-                        return x
-        return self.language(prompt)
+    def languages(self, texts: list[str | None]) -> list[str | None]:
+        """Language of most words of the prose of each text, if it has enough prose to tell; sentences of all are read at once."""
+        batch: list[list[str]] = []
+        owner: list[int] = []
+        for i, text in enumerate(texts):
+            read = [(ws, full) for _, _, full, prose in languages.sentences(text or "") if (ws := languages.natural_words(prose))]
+            if sum(len(ws) for ws, _ in read) < LEAST_PROSE:
+                read = [(ws, full) for ws, full in read if full and len(ws) >= LEAST_SAID]  # names and decisions are no prose
+            batch += [ws for ws, _ in read]
+            owner += [i] * len(read)
+        out: list[str | None] = [None] * len(texts)
+        if not batch or not self.reader:
+            return out
+        weight: dict[tuple[int, int], int] = {}
+        for i, k, s, u, ws in zip(owner, *(x.tolist() for x in self.reader.read(batch)), batch):
+            if languages.settled(len(ws), s, u):
+                weight[i, k] = weight.get((i, k), 0) + len(ws)
+        best: dict[int, tuple[int, int]] = {}
+        for (i, k), n in weight.items():
+            best[i] = max(best.get(i, (0, 0)), (n, -k))
+        for i, (_, k) in best.items():
+            out[i] = self.model.languages[-k]
+        return out
+
+    def asked(self, prompt: str) -> str | None:
+        """The language a prompt asks for by name."""
+        if _ASKS.search(prompt):
+            for s in _SENTENCE.split(prompt):
+                if _ASKS.search(s):
+                    for x, name in _NAMED.items():
+                        if name.search(s):
+                            return x
+        return None
 
     def prose(self, content: str) -> str | None:
         t = _bare(content)
@@ -264,41 +288,53 @@ class Judge:
             return " ".join(said)
         return t
 
-    def defect(self, content: str | None, prompt: str) -> str | None:
+    def first(self, content: str | None, prompt: str) -> str | None:
+        """The first defect besides a wrong language."""
         if is_empty(content):
             return "empty"
-        if self.refuses(content, prompt):
+        if self.may_decline(words(content)) and self.refuses(content, prompt):
             return "refusal"
-        if self.copies(content, prompt):
-            return "copy"
-        prose = self.prose(content)
-        own = self.language(prose) if prose else None
-        if own:
-            wanted = self.wanted(prompt)
-            if wanted and wanted != own:
-                return "language"
-        return None
+        return "copy" if self.copies(content, prompt) else None
+
+    def defects(self, contents: list[str | None], prompts: list[str]) -> list[str | None]:
+        out = [self.first(c, p) for c, p in zip(contents, prompts)]
+        rest = [i for i, d in enumerate(out) if d is None]
+        own = self.languages([self.prose(contents[i]) for i in rest])
+        told = [(i, x) for i, x in zip(rest, own) if x]
+        written = [prompts[i] for i, _ in told if not self.asked(prompts[i])]
+        of = dict(zip(written, self.languages(written)))
+        for i, x in told:
+            wanted = self.asked(prompts[i]) or of[prompts[i]]
+            if wanted and wanted != x:
+                out[i] = "language"
+        return out
+
+    def defect(self, content: str | None, prompt: str) -> str | None:
+        return self.defects([content], [prompt])[0]
 
 
 def _judged(frames: Iterator[pd.DataFrame], model: languages.Model | None) -> Iterator[pd.DataFrame]:
     judge = Judge(model)
     for f in frames:
-        yield pd.DataFrame({"ingest_seq": f["ingest_seq"], "h": f["h"], "defect": [judge.defect(c, p) for c, p in zip(f["content"], f["prompt"])]})
+        yield pd.DataFrame({"ingest_seq": f["ingest_seq"], "h": f["h"], "defect": judge.defects(f["content"].tolist(), f["prompt"].tolist())})
 
 
-def defective(responses: DataFrame, requests: DataFrame) -> DataFrame:
+def defective(responses: DataFrame, requests: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """(ingest_seq, defect): responses to known requests with the first defect that applies.
 
-    Defects in order: empty, refusal, copy, language, truncated. Request identifiers compare stripped and in
-    lower case; null ones join nothing. Of several prompts of one request the least is taken; a null prompt
-    joins nothing. Equal rows give one result row; further columns are ignored; empty tables give no rows.
+    Defects in order: empty, refusal, copy, language, truncated. What is truncated is told over the same corpus
+    as in `truncated`, if `profiles` are given. Request identifiers compare stripped and in lower case; null ones
+    join nothing. Where a request has several prompts, a response is a copy if it copies any, a refusal if it
+    declines whatever the prompt, and in a wrong language if it is for all; a null prompt joins nothing. Equal
+    rows give one result row; further columns are ignored; empty tables give no rows.
     """
-    prompts = requests.select(ident(F.col("request_id")).alias("id"), "prompt").where("id is not null and prompt is not null").groupBy("id").agg(F.min("prompt").alias("prompt"))
+    prompts = requests.select(ident(F.col("request_id")).alias("id"), "prompt").where("id is not null and prompt is not null").distinct()
     content = F.xxhash64(F.coalesce("content", F.lit("\0")))
-    delivered = responses.select(ident(F.col("request_id")).alias("id"), "ingest_seq", "content", content.alias("h")).where("ingest_seq is not null").distinct()
+    delivered = responses.select(ident(F.col("request_id")).alias("id"), "ingest_seq", "content", content.alias("h")).where("ingest_seq is not null").dropDuplicates(["id", "ingest_seq", "h"])
     pairs = cut(delivered.join(prompts, "id").select("ingest_seq", "h", "content", "prompt"))
-    model = languages.fit_unlabelled(pairs.select("content").union(pairs.select("prompt")).toDF("text").distinct())
-    seen = pairs.select("ingest_seq", "h", "content", "prompt").mapInPandas(lambda fs: _judged(fs, model), "ingest_seq long, h long, defect string")
-    ends = truncation.judged(responses, None).where("cut").select(F.col("record_key").cast("long").alias("ingest_seq"), F.lit("truncated").alias("ended")).distinct()
-    told = seen.join(ends, "ingest_seq", "left").select("ingest_seq", F.coalesce("defect", "ended").alias("defect"))
-    return told.where("defect is not null").distinct()
+    model = languages.fit_unlabelled(pairs.select(F.explode(F.array("content", "prompt")).alias("text")))
+    seen = pairs.mapInPandas(lambda fs: _judged(fs, model), "ingest_seq long, h long, defect string")
+    by = seen.groupBy("ingest_seq", "h").agg(*[F.count_if(F.col("defect") == d).alias(d) for d in ("empty", "refusal", "copy", "language")], F.count("*").alias("n"))
+    told = by.select("ingest_seq", F.when(F.col("empty") > 0, "empty").when(F.col("refusal") == F.col("n"), "refusal").when(F.col("copy") > 0, "copy").when(F.col("language") + F.col("refusal") == F.col("n"), "language").alias("defect"))
+    ends = truncation.judged(responses, profiles).where("field = 'content' and cut").select(F.col("record_key").cast("long").alias("ingest_seq"), F.lit("truncated").alias("ended")).distinct()
+    return told.join(ends, "ingest_seq", "left").select("ingest_seq", F.coalesce("defect", "ended").alias("defect")).where("defect is not null").distinct()

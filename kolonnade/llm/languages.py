@@ -261,7 +261,7 @@ def sentence_languages(documents: DataFrame, model: Model | None = None) -> Data
     return _read(documents, model, _sentences, SENTENCES)
 
 
-def _settled(n_words: int, confidence: float, ambiguous: bool) -> bool:
+def settled(n_words: int, confidence: float, ambiguous: bool) -> bool:
     """Whether a sentence alone tells its language: few words do only with more confidence."""
     return not ambiguous and confidence >= (SURE if n_words >= LEAST_WORDS else SURE_SHORT)
 
@@ -277,7 +277,7 @@ def _stretches(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.Data
                 # Another document, or a repeated row of the same.
                 rows += _unsettled(waiting)
                 waiting, last, fresh = [], doc, True
-            if not _settled(n, sure, unsure):
+            if not settled(n, sure, unsure):
                 if fresh:
                     waiting.append((doc, begin, end, lang, 1, n, sure * n))
                 else:

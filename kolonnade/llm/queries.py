@@ -84,7 +84,7 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.defective(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "batch_requests"))
+    return answers.defective(table(spark, sf_dir, "batch_responses"), table(spark, sf_dir, "batch_requests"), table(spark, sf_dir, "column_profiles"))
 
 
 @query("p8_selection")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kolonnade.llm import answers as A
 from tests.llm.test_languages import LINES
@@ -94,3 +95,15 @@ def test_table(spark):
 
 def test_empty_tables(spark):
     assert A.defective(spark.createDataFrame([], RS), spark.createDataFrame([], QS)).count() == 0
+
+
+def test_short_copies_and_short_prose(judge):
+    assert judge.copies("Which city?", "Use the table tours.\nWhich city?") and judge.copies("price of tours", "price of tours")
+    assert not judge.copies("city", "city") and not judge.copies("tour city", "Which tour city is meant?")
+    assert judge.languages(["unit price", None, ""]) == [None, None, None]
+
+
+def test_several_prompts_of_a_request(spark):
+    r = spark.createDataFrame([(1, "a", "Which price is the right one for this question here?"), (2, "a", "price_1")], "ingest_seq long, request_id string, content string").withColumn("model", F.lit("m"))
+    q = spark.createDataFrame([(" A", "Which price is the right one for this question here?"), ("a", "Name a column."), ("a", None)], "request_id string, prompt string")
+    assert sorted(map(tuple, A.defective(r, q).collect())) == [(1, "copy")]

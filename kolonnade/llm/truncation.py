@@ -191,10 +191,10 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.assign(
             cut=pd.array([v for v, _, _ in seen], dtype="boolean"),
             grams=[[int(shingle_hashes(h, n)[-1].view(np.int64)) for n in range(1, len(h) + 1)] for h in tails],
-            clause=[c and _key("sql:" + c) for _, _, c in seen],
+            clause=pd.array([c and _key("sql:" + c) for _, _, c in seen], dtype="Int64"),
             word=pd.array([_key("pre:" + w[0]) if one and v is None and w and not c else None for (v, w, c), one in zip(seen, single)], dtype="Int64"),
             open=[not (one or _FIXED.match(t.strip())) and (v if v is not None else len(w) > 0) for (v, w, _), t, one in zip(seen, f["text"], single)],
-        ).astype({"clause": "Int64"})
+        )
 
 
 class _Tokens(dict):

@@ -47,6 +47,11 @@ def test_endings_and_transfer_cuts(spark):
     assert {int(k) for f, k, p in got if f == "content"} == {k for k, (_, cut) in cases.items() if cut}
 
 
+def test_sql_that_stops_in_a_clause_where_none_ends(spark):
+    rows = [(i, "m", f"SELECT place, count(*) FROM t_{i} WHERE code > {i} GROUP BY place ORDER BY place LIMIT {i};") for i in range(60)]
+    assert {k for f, k, p in run(spark, rows + [(900, "m", "SELECT place, count(*) FROM t_9 WHERE code > 7 GROUP BY count"), (901, "m", "SELECT place FROM t_9 WHERE code > 7 ORDER BY place LIMIT 9")])} == {"900"}
+
+
 def test_limit_of_a_source_whatever_stands_at_the_cut(spark):
     r = random.Random(3)
     texts = [" ".join(sentence(r) for _ in range(r.randrange(1, 9))) for _ in range(300)]

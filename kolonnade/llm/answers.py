@@ -301,11 +301,11 @@ class Judge:
         rest = [i for i, d in enumerate(out) if d is None]
         own = self.languages([self.prose(contents[i]) for i in rest])
         told = [(i, x) for i, x in zip(rest, own) if x]
-        written = [prompts[i] for i, _ in told if not self.asked(prompts[i])]
-        of = dict(zip(written, self.languages(written)))
+        wanted = {p: self.asked(p) for p in {prompts[i] for i, _ in told}}
+        written = [p for p, x in wanted.items() if not x]
+        wanted.update(zip(written, self.languages(written)))
         for i, x in told:
-            wanted = self.asked(prompts[i]) or of[prompts[i]]
-            if wanted and wanted != x:
+            if wanted[prompts[i]] and wanted[prompts[i]] != x:
                 out[i] = "language"
         return out
 

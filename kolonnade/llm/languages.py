@@ -81,9 +81,22 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
     return best.astype(np.float32)
 
 
+class _Natural(dict):
+    """Words in lower case, names as empty strings; forgotten from time to time."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        natural = self[w] = w.lower() if _NATURAL.match(w) and (w[1:].islower() or len(w) == 1) else ""
+        return natural
+
+
+_natural = _Natural()
+
+
 def natural_words(sentence: str) -> list[str]:
     """Lower-case words without names: no digits, underscores, inner dots or capitals, no words in capitals."""
-    return [w.lower() for w in _WORD.findall(sentence) if _NATURAL.match(w) and (w[1:].islower() or len(w) == 1)]
+    return list(filter(None, map(_natural.__getitem__, _WORD.findall(sentence))))
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, bool, str]]:

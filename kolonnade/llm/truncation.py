@@ -341,7 +341,10 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     """
     lengths = F.explode(F.map_from_arrays(F.array(*map(F.lit, ENCODINGS)), F.col("lens"))).alias("encoding", "len")
     wide = F.col("open") & (F.col("len") > F.col("lens")[0])
-    histogram = texts.select("field", "source", "open", "lens", lengths).groupBy("field", "source", "encoding", "len").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"), F.count_if(wide).alias("n_wide"))
+    # Many texts have the same lengths under all encodings.
+    alike = texts.groupBy("field", "source", "open", "lens").agg(F.count("*").alias("k"))
+    times = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    histogram = alike.select("field", "source", "open", "lens", "k", lengths).groupBy("field", "source", "encoding", "len").agg(F.sum("k").alias("n"), times(F.col("open")).alias("n_open"), times(wide).alias("n_wide"))
     per = W.partitionBy("field", "source", "encoding")
     near = lambda a, b, c: F.coalesce(F.sum(c).over(per.orderBy("len").rangeBetween(a, b)), F.lit(0))
     back = F.coalesce(*[F.when(F.col("encoding") == e, F.lit(d)) for e, d in STEP_BACK.items()], F.lit(0))
@@ -353,9 +356,10 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     top = F.col("len") == F.col("most")
     # Lengths on both sides, none near as frequent: names of like lengths make a pile too.
     inside = (F.col("back") == 0) & (F.col("pile") >= INSIDE) & (F.col("pile") >= INSIDE_STEEP * F.col("most_before")) & (F.col("pile") >= INSIDE_STEEP * F.col("most_after"))
-    piles = cut(piles.where((F.col("n_open") > 0) & (top | inside)).withColumn("own", F.when(top, (F.col("pile") >= PILE) & (F.col("pile") >= STEEP * F.col("before"))).otherwise(True)).withColumn("top", top))
-    shared = piles.where("own and top").groupBy("field", "encoding", "len").agg(F.count("*").alias("sources")).where(F.col("sources") >= SHARED)
-    found = piles.join(shared, ["field", "encoding", "len"], "left").where(F.col("own") | F.col("top") & F.col("sources").isNotNull())
+    piles = piles.where((F.col("n_open") > 0) & (top | inside)).withColumn("own", F.when(top, (F.col("pile") >= PILE) & (F.col("pile") >= STEEP * F.col("before"))).otherwise(True)).withColumn("top", top)
+    # One row a source and length: at most as many as there are sources.
+    sources = F.count_if(F.col("own") & F.col("top")).over(W.partitionBy("field", "encoding", "len"))
+    found = piles.withColumn("sources", sources).where(F.col("own") | F.col("top") & (F.col("sources") >= SHARED))
     # Plain characters explain a pile unless another encoding gathers clearly more.
     weight = F.sum("pile").over(per) * F.when(F.col("encoding") == "characters", 1.0).otherwise(0.9)
     best = W.partitionBy("field", "source").orderBy(F.desc("weight"), "encoding")
@@ -387,12 +391,12 @@ def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     told_by = ["field", "grams", "clause", "word"]
     at_limit = cut(at_limit.withColumn("verdict", verdict).withColumn("undecided", F.col("verdict").isNull() & undecided))
     # Undecided endings, each once, and only the statistics that they ask for.
-    asked = cut(at_limit.where("undecided").select(*told_by).distinct().withColumn("aid", F.monotonically_increasing_id()))
+    asked = at_limit.where("undecided").select(*told_by).distinct()
     none = F.array().cast("array<struct<order:int,key:long>>")
     runs = lambda plus, salt: F.transform("grams", lambda g, i: F.struct((i + plus).cast("int").alias("order"), g.bitwiseXOR(F.lit(int(salt))).alias("key")))
     one = lambda column, order: F.when(F.col(column).isNotNull(), F.array(F.struct(F.lit(order).alias("order"), F.col(column).alias("key")))).otherwise(none)
     values_only = F.when(F.col("field") == "sample_values", runs(11, _SALT)).otherwise(none)
-    wanted = cut(asked.select("aid", "field", F.explode(F.concat(runs(1, 0), values_only, one("clause", 9), one("word", 20))).alias("g")).select("aid", "field", "g.order", "g.key"))
+    wanted = asked.select(*told_by, F.explode(F.concat(runs(1, 0), values_only, one("clause", 9), one("word", 20))).alias("g")).select(*told_by, "g.order", "g.key")
     bitmap = spark.sparkContext.broadcast(filter_of(wanted, ["key"]))
     # Texts at a limit say nothing about endings.
     free = texts.join(limits, (F.col("field") == F.col("f")) & F.col("s0").eqNullSafe(F.col("s")), "left").where(~full)
@@ -405,7 +409,7 @@ def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     o = F.when(F.col("field") == "sample_values", F.greatest(F.coalesce("o", F.lit(0)) - 1, F.lit(0))).otherwise(0)
     # Longer runs lean on shorter ones, those among short values on those of the whole corpus.
     orders = (1, 2, 3, 11, 12, 13)
-    by = known.groupBy("aid").agg(
+    by = known.groupBy(*told_by).agg(
         *[F.max(F.when(F.col("order") == n, m + e + o)).alias(f"t{n}") for n in orders],
         *[F.max(F.when(F.col("order") == n, e + o)).alias(f"e{n}") for n in orders],
         F.max(F.when(F.col("order") == 1, (m + e >= KNOWN) | (o >= KNOWN_ENDS) & (o >= KNOWN_SHARE * values))).alias("known"),
@@ -422,7 +426,7 @@ def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
         .when(F.col("word").isNotNull(), strange & (F.coalesce("longer", F.lit(0)) >= KNOWN_ENDS))
         .otherwise(strange | (share < ENDING))
     )
-    decided = asked.join(by, "aid").select(*told_by, told.alias("told"), (F.col("clause").isNull() & F.col("word").isNull() & ~strange & (share >= FIRM)).alias("firm"))
+    decided = by.select(*told_by, told.alias("told"), (F.col("clause").isNull() & F.col("word").isNull() & ~strange & (share >= FIRM)).alias("firm"))
     decided = decided.withColumnsRenamed({c: "a_" + c for c in told_by})
     same = [F.col(c).eqNullSafe(F.col("a_" + c)) for c in told_by]
     out = at_limit.join(decided, same[0] & same[1] & same[2] & same[3] & F.col("undecided"), "left")

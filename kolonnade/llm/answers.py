@@ -316,7 +316,11 @@ class Judge:
 def _judged(frames: Iterator[pd.DataFrame], model: languages.Model | None) -> Iterator[pd.DataFrame]:
     judge = Judge(model)
     for f in frames:
-        yield pd.DataFrame({"ingest_seq": f["ingest_seq"], "h": f["h"], "defect": judge.defects(f["content"].tolist(), f["prompt"].tolist())})
+        # Redeliveries lie next to each other.
+        both = list(zip(f["content"], f["prompt"]))
+        once = list(dict.fromkeys(both))
+        told = dict(zip(once, judge.defects([c for c, _ in once], [p for _, p in once])))
+        yield pd.DataFrame({"ingest_seq": f["ingest_seq"], "h": f["h"], "defect": [told[x] for x in both]})
 
 
 def defective(responses: DataFrame, requests: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -336,5 +340,5 @@ def defective(responses: DataFrame, requests: DataFrame, profiles: DataFrame | N
     seen = pairs.mapInPandas(lambda fs: _judged(fs, model), "ingest_seq long, h long, defect string")
     by = seen.groupBy("ingest_seq", "h").agg(*[F.count_if(F.col("defect") == d).alias(d) for d in ("empty", "refusal", "copy", "language")], F.count("*").alias("n"))
     told = by.select("ingest_seq", F.when(F.col("empty") > 0, "empty").when(F.col("refusal") == F.col("n"), "refusal").when(F.col("copy") > 0, "copy").when(F.col("language") + F.col("refusal") == F.col("n"), "language").alias("defect"))
-    ends = truncation.judged(responses, profiles).where("field = 'content' and cut").select(F.col("record_key").cast("long").alias("ingest_seq"), F.lit("truncated").alias("ended")).distinct()
+    ends = truncation.judged(responses, profiles, "content").where("cut").select(F.col("record_key").cast("long").alias("ingest_seq"), F.lit("truncated").alias("ended")).distinct()
     return told.join(ends, "ingest_seq", "left").select("ingest_seq", F.coalesce("defect", "ended").alias("defect")).where("defect is not null").distinct()

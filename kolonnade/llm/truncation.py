@@ -263,8 +263,9 @@ def _counts(frames: Iterator[pd.DataFrame], bitmap) -> Iterator[pd.DataFrame]:
                         if clause:
                             clauses["e", clause] += 1
                 elif was_cut is True:
-                    # What stands before a cut is no ending.
-                    tokens += _TOKEN.findall(_MARK.sub("", t).rstrip(".…\ufffd"))[:-1]
+                    # What stands before a cut is no ending; a stop may be one.
+                    own = _TOKEN.findall(t if t[-1:] in ".!?" and t[-2:-1].isalnum() else _MARK.sub("", t).rstrip(".…\ufffd"))
+                    tokens += own if own and own[-1][0] in ".!?" else own[:-1]
                     tokens.append("\r")
                 else:
                     tokens += _TOKEN.findall(t)
@@ -366,19 +367,23 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     return found.withColumn("weight", weight).withColumn("rn", F.dense_rank().over(best)).where("rn = 1").select("field", "source", "encoding", F.col("len").alias("limit"), "reach", F.col("pile").alias("n_at_limit"))
 
 
-def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
-    """(field, source, record_key, item_pos, cut boolean): the verdict on every text; see `truncated`."""
+def judged(responses: DataFrame, profiles: DataFrame | None, only: str | None = None) -> DataFrame:
+    """(field, source, record_key, item_pos, cut boolean): the verdict on every text; see `truncated`.
+
+    `only`: the verdicts of one field, told by the texts of both.
+    """
     spark = responses.sparkSession
     # Texts are known by two hashes; they themselves are shuffled once, each distinct one.
     rows = unfolded(responses, profiles).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     key = ["field", "k1", "k2"]
-    placed = cut(rows.select(*key, "source", "record_key", "item_pos").distinct())
+    mine = F.lit(True) if only is None else F.col("field") == only
+    placed = cut(rows.where(mine).select(*key, "source", "record_key", "item_pos").distinct())
     once = rows.groupBy(*key).agg(F.min("source").alias("s0"), F.first("text").alias("text")).withColumn("lens", F.array(*[encoded_lengths(F.col("text"))[e] for e in ENCODINGS]))
     shape = "field string, k1 long, k2 long, s0 string, text string, lens array<int>"
     texts = cut(once.mapInPandas(_features, shape + ", cut boolean, grams array<long>, clause long, word long, open boolean"))
     # A whole ending at a limit (stop, closed bracket, nothing after it) is a text that just fits.
     stops = F.col("text").rlike("[.!?。！？:;}\\]`)\"]\\z").alias("stops")
-    spread = cut(placed.select(*key, "source").distinct().join(texts.select(*key, "lens", "cut", "grams", "clause", "word", "open", stops), key))
+    spread = cut(placed.select(*key, "source").distinct().join(texts.where(mine).select(*key, "lens", "cut", "grams", "clause", "word", "open", stops), key))
     found = hidden_limits(spread.select("field", "source", "lens", "open"))
     limits = cut(found.groupBy(F.col("field").alias("f"), F.col("source").alias("s")).agg(F.collect_list(F.struct("encoding", "limit", "reach")).alias("limits")))
     length = lambda name: F.element_at("lens", F.array_position(F.array(*map(F.lit, ENCODINGS)), name).cast("int"))
@@ -396,12 +401,13 @@ def judged(responses: DataFrame, profiles: DataFrame | None) -> DataFrame:
     runs = lambda plus, salt: F.transform("grams", lambda g, i: F.struct((i + plus).cast("int").alias("order"), g.bitwiseXOR(F.lit(int(salt))).alias("key")))
     one = lambda column, order: F.when(F.col(column).isNotNull(), F.array(F.struct(F.lit(order).alias("order"), F.col(column).alias("key")))).otherwise(none)
     values_only = F.when(F.col("field") == "sample_values", runs(11, _SALT)).otherwise(none)
-    wanted = asked.select(*told_by, F.explode(F.concat(runs(1, 0), values_only, one("clause", 9), one("word", 20))).alias("g")).select(*told_by, "g.order", "g.key")
+    wanted = cut(asked.select(*told_by, F.explode(F.concat(runs(1, 0), values_only, one("clause", 9), one("word", 20))).alias("g")).select(*told_by, "g.order", "g.key"))
     bitmap = spark.sparkContext.broadcast(filter_of(wanted, ["key"]))
     # Texts at a limit say nothing about endings.
     free = texts.join(limits, (F.col("field") == F.col("f")) & F.col("s0").eqNullSafe(F.col("s")), "left").where(~full)
-    values = free.where("field = 'sample_values'").count()
-    counted = free.select("field", "text", "cut").mapInPandas(lambda fs: _counts(fs, bitmap), "key long, n_mid long, n_open long, n_end long")
+    values = at_limit.where("field = 'sample_values' and not full").count()
+    # Of the other field limits aren't known, so what ends its texts doesn't count either.
+    counted = free.select("field", "text", F.when(mine, F.col("cut")).otherwise(True).alias("cut")).mapInPandas(lambda fs: _counts(fs, bitmap), "key long, n_mid long, n_open long, n_end long")
     stats = counted.groupBy("key").agg(F.sum("n_mid").alias("m"), F.sum("n_open").alias("o"), F.sum("n_end").alias("e"))
     known = wanted.join(stats, "key", "left")
     m, e = F.coalesce("m", F.lit(0)), F.coalesce("e", F.lit(0))

@@ -22,7 +22,7 @@ PATTERNS = (
 
 def ascii_normal(c: Column) -> Column:
     """Normal form of an ASCII value: lower case, trimmed, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), "[\\s\\x1c-\\x1f]+", " "))
 
 
 @F.pandas_udf(T.StringType())

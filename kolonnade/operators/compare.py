@@ -31,12 +31,20 @@ def run(spark: SparkSession, sql: str, limit: int | None = None, timeout_s: floa
 
 
 def _cell(name: str, kind: str) -> Column:
-    """A cell as text, so that 1, 1.0 and true are the same; nulls keep apart."""
+    """A cell as text, so that 1, 1.0 and true are the same; nulls keep apart.
+
+    Decimals keep all their digits, doubles are equal if they are the same number.
+    """
     c = F.col(f"`{name}`")
-    if kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        text = F.regexp_replace(F.format_number(c.cast("double"), 9), ",", "")
-        c = F.regexp_replace(text, "\\.?0+$", "") if kind not in ("boolean", "tinyint", "smallint", "int", "bigint") else c.cast("bigint").cast("string")
-        return F.when(F.col(f"`{name}`").isNull(), "\0").otherwise(F.when(c.isin("", "-0", "-"), "0").otherwise(c))
+    if kind in ("boolean", "tinyint", "smallint", "int", "bigint"):
+        c = c.cast("bigint")
+    elif kind.startswith("decimal"):
+        digits = F.regexp_replace(F.translate(F.format_number(c, 38), ",", ""), "\\.?0+$", "")
+        return F.when(c.isNull(), "\0").otherwise(F.when(digits == "-0", "0").otherwise(digits))
+    elif kind in ("float", "double"):
+        # Beyond 2**53 doubles are whole anyway; up to there they are the same text as integers.
+        whole = (c == F.floor(c)) & (F.abs(c) < 2.0**53)
+        c = F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     return F.coalesce(c.cast("string"), F.lit("\0"))
 
 

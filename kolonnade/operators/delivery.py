@@ -18,6 +18,8 @@ from kolonnade.functions.keys import ident
 from kolonnade.session import cut, scratch
 
 _KEY, _HOME = "__key", "__home"
+#: Segments of the index before they are written as one.
+SEGMENTS = 16
 
 
 class MessageStore:
@@ -97,9 +99,15 @@ class MessageStore:
 
     # -- writing ----------------------------------------------------------------------------------
 
-    def merge(self, batch: DataFrame, key: Column, seq: Column, good: Column, home: Column, payload: Sequence[str] = ()) -> dict:
-        """Take one batch of deliveries; returns the committed manifest."""
+    def merge(self, batch: DataFrame, key: Column, seq: Column, good: Column, home: Column, payload: Sequence[str] = (), feed: str | None = None, number: int | None = None) -> dict:
+        """Take one batch of deliveries; returns the committed manifest.
+
+        With `feed` and `number` (ascending within a feed) a batch that was taken before is known by the manifest
+        and changes nothing, so a batch that is delivered again after a failure counts once.
+        """
         state = self.manifest()
+        if feed is not None and number is not None and number <= state.get("taken", {}).get(feed, -1):
+            return state
         version = state["version"] + 1
         rows = batch.select(
             key.alias(_KEY),
@@ -128,8 +136,14 @@ class MessageStore:
             written = self._data(state, version)
             touched = [r[0] for r in written.select(_HOME).distinct().collect()]
             fresh = written.select(F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int").alias("bucket"), _KEY, F.col(_HOME).alias("home"))
+        segments = [*state["index"], version]
+        if len(segments) > SEGMENTS:
+            # Many small segments become one.
+            old = self._index(state, None).select(F.pmod(F.xxhash64(_KEY), F.lit(self.index_buckets)).cast("int").alias("bucket"), _KEY, F.col("__known").alias("home"))
+            fresh, segments = fresh.unionByName(old), [version]
         fresh.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/index/v{version}")
-        state = {"version": version, "schema": state["schema"], "homes": state["homes"] | dict.fromkeys(touched, version), "index": [*state["index"], version]}
+        taken = state.get("taken", {}) | ({feed: number} if feed is not None and number is not None else {})
+        state = {"version": version, "schema": state["schema"], "homes": state["homes"] | dict.fromkeys(touched, version), "index": segments, "taken": taken}
         self._commit(state)
         return state
 

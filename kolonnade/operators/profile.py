@@ -89,7 +89,7 @@ def modes(values: DataFrame, columns: DataFrame) -> DataFrame:
 
 #: Labels of modes.
 MODE_LABELS = {
-    "BOOLEAN_LIKE": "boolean flag",
+    "BOOLEAN_LIKE": "boolean-like categorical value",
     "CODE_OR_IDENTIFIER": "code or identifier",
     "DATE_LIKE": "date or time value",
     "NUMERIC_MEASURE": "numeric measure",

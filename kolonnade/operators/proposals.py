@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from kolonnade.operators.numbering import numbered
 
 #: Channels in their order, and the channels of each view.
 CHANNELS = ("lexical", "surface_name_embedding", "schema_embedding", "value_collision")
@@ -31,8 +33,7 @@ def bundles(proposals: DataFrame) -> DataFrame:
     """
     order = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel"))
     per = proposals.where("l <> r").withColumn("o", order).groupBy("l", "r").agg(F.count("*").alias("n_proposals"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("o", "channel"))), lambda x: x.channel), ",").alias("channels"), F.round(F.max("score"), 6).alias("best_score"))
-    number = F.row_number().over(W.orderBy("l", "r"))
-    return per.withColumn("queue_position", number).select(F.format_string("cand_%06d", "queue_position").alias("candidate_id"), "queue_position", "l", "r", "n_proposals", "channels", "best_score")
+    return numbered(per, "queue_position", "l", "r").select(F.format_string("cand_%06d", "queue_position").alias("candidate_id"), "queue_position", "l", "r", "n_proposals", "channels", "best_score")
 
 
 def with_context(pairs: DataFrame, columns: DataFrame) -> DataFrame:

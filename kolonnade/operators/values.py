@@ -10,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kolonnade.functions import text
+from kolonnade.operators.numbering import numbered
 from kolonnade.operators.profile import BOOLEANS
 
 MODES = ("CODE_OR_IDENTIFIER", "LOW_CARD_DOMAIN", "LONG_TEXT_HASH", "LABEL_TEXT")
 
 
-def domains(values: DataFrame, unicode: bool = False) -> DataFrame:
-    """Distinct (ref, v) of normalised values without missing tokens; `unicode` normalises by NFKC and case folding."""
-    raw = values.where("v is not null").select("ref", "v").distinct()
-    plain = text.ascii_normal(F.col("v"))
-    if unicode:
-        odd = raw.where(F.length("v") != F.octet_length("v")).select("ref", text.nfkc_casefold("v").alias("v"))
-        norm = raw.where(F.length("v") == F.octet_length("v")).select("ref", plain.alias("v")).unionByName(odd)
-    else:
-        norm = raw.select("ref", plain.alias("v"))
-    return norm.where(~text.missing(F.col("v"))).distinct()
+def normalized(rows: DataFrame, column: str, to: str) -> DataFrame:
+    """`rows` with the normal form (NFKC, case folded, white space collapsed) of `column` as `to`; only values beyond ASCII go through Python."""
+    ascii_only = F.length(column) == F.octet_length(column)
+    return rows.where(ascii_only).withColumn(to, text.ascii_normal(F.col(column))).unionByName(rows.where(~ascii_only).withColumn(to, text.nfkc_casefold(column)))
+
+
+def domains(values: DataFrame) -> DataFrame:
+    """Distinct (ref, v) of normalised values without missing tokens."""
+    raw = values.where("v is not null").select("ref", F.col("v").alias("o")).distinct()
+    return normalized(raw, "o", "v").where(~text.missing(F.col("v"))).select("ref", "v").distinct()
 
 
 def patterns(domain: DataFrame) -> DataFrame:
@@ -102,9 +103,7 @@ def collisions(domain: DataFrame, columns: DataFrame, modes: DataFrame) -> DataF
     mode = F.coalesce(*[F.when(F.array_contains("lm", m) & F.array_contains("rm", m) & passes[m], F.lit(m)) for m in MODES])
     found = rows.withColumn("mode", mode).where("mode is not null")
     priority = F.when(F.col("mode") == "CODE_OR_IDENTIFIER", "high").when(F.col("mode") == "LOW_CARD_DOMAIN", "low").otherwise("medium")
-    # Numbers run over the candidates, at most one a pair of columns of the schema.
-    number = F.row_number().over(W.orderBy("l", "r"))
-    return found.select(F.format_string("value_%06d", number).alias("candidate_id"), "l", "r", "mode", priority.alias("priority"), "n_left", "n_right", "n_shared", *[F.round(c, 6).alias(c) for c in ("jaccard", "overlap", "contained_left", "contained_right")])
+    return numbered(found, "number", "l", "r").select(F.format_string("value_%06d", "number").alias("candidate_id"), "l", "r", "mode", priority.alias("priority"), "n_left", "n_right", "n_shared", *[F.round(c, 6).alias(c) for c in ("jaccard", "overlap", "contained_left", "contained_right")])
 
 
 def _shared_values(domain: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -121,8 +120,8 @@ def matched_examples(domain: DataFrame, pairs: DataFrame, k: int = 5) -> DataFra
 
 def representatives(values: DataFrame) -> DataFrame:
     """(ref, v, original): the least original spelling, trimmed, of each normalised value."""
-    norm = text.ascii_normal(F.col("o"))
-    return values.where("v is not null").select("ref", F.trim("v").alias("o")).withColumn("v", norm).where(~text.missing(F.col("v"))).groupBy("ref", "v").agg(F.min("o").alias("original"))
+    rows = values.where("v is not null").select("ref", F.trim("v").alias("o"))
+    return normalized(rows, "o", "v").where(~text.missing(F.col("v"))).groupBy("ref", "v").agg(F.min("o").alias("original"))
 
 
 def shortened(c: Column, n: int = 25) -> Column:

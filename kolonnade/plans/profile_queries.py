@@ -72,7 +72,7 @@ def profile_samples(spark, d):
     return profile.samples(C.values(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
-SEM = """sem AS (SELECT c.ref, concat_ws('; ', CASE value_mode WHEN 'BOOLEAN_LIKE' THEN 'boolean flag' WHEN 'CODE_OR_IDENTIFIER' THEN 'code or identifier' WHEN 'DATE_LIKE' THEN 'date or time value' WHEN 'NUMERIC_MEASURE' THEN 'numeric measure'
+SEM = """sem AS (SELECT c.ref, concat_ws('; ', CASE value_mode WHEN 'BOOLEAN_LIKE' THEN 'boolean-like categorical value' WHEN 'CODE_OR_IDENTIFIER' THEN 'code or identifier' WHEN 'DATE_LIKE' THEN 'date or time value' WHEN 'NUMERIC_MEASURE' THEN 'numeric measure'
 WHEN 'LOW_CARD_DOMAIN' THEN 'low-cardinality categorical label' WHEN 'LABEL_TEXT' THEN 'text label' ELSE 'other schema value' END,
 CASE WHEN primary_key THEN 'primary key' END, CASE WHEN uniq THEN 'unique column' END, CASE WHEN fk_ref IS NOT NULL THEN 'foreign key column' END,
 CASE WHEN distinct_ratio >= 0.95 THEN 'mostly unique values' WHEN distinct_ratio > 0 AND distinct_ratio <= 0.05 THEN 'many repeated values' END,

@@ -17,16 +17,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 Complete = Callable[[Sequence[str]], Sequence[str]]
 
 
+class ResponseError(Exception):
+    """The service answered with an error of its own."""
+
+
+class ResponseDecodeError(Exception):
+    """The service's answer can't be read."""
+
+
 def error_class(e: BaseException) -> str:
-    """The class under which a failed call is booked."""
+    """The class under which a failed call is booked; all but a content that doesn't parse are failures of the service and asked again."""
     name = type(e).__name__.lower()
+    if isinstance(e, (ResponseDecodeError, KeyError, IndexError, TypeError)):
+        return "API_RESPONSE_PROTOCOL_ERROR"
+    if isinstance(e, ResponseError):
+        return "API_RESPONSE_ERROR"
     if "http" in name or "status" in name:
-        return "API_HTTP"
-    if isinstance(e, (TimeoutError, ConnectionError, OSError)):
-        return "API_TRANSPORT"
-    if isinstance(e, (KeyError, TypeError)):
-        return "RESPONSE"
-    return "PARSER" if isinstance(e, ValueError) else "CLIENT"
+        return "API_HTTP_ERROR"
+    if isinstance(e, OSError):
+        return "API_TRANSPORT_ERROR"
+    return "PARSER_ERROR" if isinstance(e, ValueError) else "API_CLIENT_ERROR"
 
 
 def completed(requests: DataFrame, complete: Complete, batch: int = 16, attempts: int = 2) -> DataFrame:

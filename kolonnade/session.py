@@ -25,7 +25,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset and the master local (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if named:
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kolonnade-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

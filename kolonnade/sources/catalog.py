@@ -119,7 +119,7 @@ def inclusion_dependencies(values: DataFrame, keys: DataFrame) -> DataFrame:
 
     `values`: distinct (ref, v) without nulls; `keys`: unique columns (ref). Joined on the values.
     """
-    parents = values.join(F.broadcast(keys.select("ref")), "ref", "left_semi").select(F.col("ref").alias("parent_ref"), "v")  # one row a column
+    parents = values.join(keys.select("ref"), "ref", "left_semi").select(F.col("ref").alias("parent_ref"), "v")  # one row a column
     sizes = values.groupBy(F.col("ref").alias("child_ref")).agg(F.count("*").alias("n_values"))
     hits = values.select(F.col("ref").alias("child_ref"), "v").join(parents, "v").where("child_ref <> parent_ref").groupBy("child_ref", "parent_ref").agg(F.count("*").alias("hits"))
     return hits.join(sizes, "child_ref").where("hits = n_values").select("child_ref", "parent_ref", "n_values")

@@ -44,9 +44,9 @@ def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def merge_stream(deliveries: DataFrame, store: MessageStore, state: str, key="key", seq="seq", good="good", home="home", payload=()):
-    """Merge every micro-batch of (key, seq, good, home, payload...) into the store; merging a batch again changes no winner."""
+    """Merge every micro-batch of (key, seq, good, home, payload...) into the store; a batch that comes again after a failure changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.merge(batch, F.col(key), F.col(seq), F.col(good), F.col(home), payload)
+        store.merge(batch, F.col(key), F.col(seq), F.col(good), F.col(home), payload, feed=state, number=number)
 
     return deliveries.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start()

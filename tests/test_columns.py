@@ -111,11 +111,12 @@ def test_patterns(spark):
 
 def test_unicode_domains(spark):
     rows = [("a.x", "Straße"), ("a.x", "ＡＢ c"), ("a.x", None), ("a.x", "N/A"), ("b.y", "STRASSE"), ("b.y", "ab C")]
-    got = {tuple(r) for r in values.domains(u(spark, rows), unicode=True).collect()}
+    got = {tuple(r) for r in values.domains(u(spark, rows)).collect()}
     want = {(r, " ".join(unicodedata.normalize("NFKC", v).strip().casefold().split())) for r, v in rows if v and v != "N/A"}
     assert got == want
-    assert [(r["l"], r["r"], r["n_shared"]) for r in values.overlaps(values.domains(u(spark, rows), unicode=True)).collect()] == [("a.x", "b.y", 2)]
+    assert [(r["l"], r["r"], r["n_shared"]) for r in values.overlaps(values.domains(u(spark, rows))).collect()] == [("a.x", "b.y", 2)]
     assert values.overlaps(values.domains(u(spark, []))).count() == 0
+    assert {(r["v"], r["original"]) for r in values.representatives(u(spark, [("a.x", " Straße"), ("a.x", "STRASSE")])).collect()} == {("strasse", "STRASSE")}
 
 
 def test_collision_modes(spark):

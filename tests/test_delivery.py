@@ -125,5 +125,27 @@ def test_only_touched_buckets_of_the_index_are_read(spark, monkeypatch):
     assert {r["key"]: r["copies"] for r in store.read().collect()} == {f"k{i}": 3 if i == 7 else 1 for i in range(100)}
 
 
+def test_a_batch_taken_again_changes_nothing(spark):
+    store = MessageStore(spark, scratch(spark, "t"))
+    first = spark.createDataFrame([("a", 1, True, "h", None, "p"), ("b", 2, True, "h", None, "q")], SHAPE)
+    args = (F.col("k"), F.col("seq"), F.col("good"), F.col("home"), ("note", "seq2"))
+    for number in (0, 0, 1, 0, 1):
+        store.merge(first.where(F.lit(number == 0) | (F.col("k") == "a")), *args, feed="f", number=number)
+    assert {r["key"]: (r["copies"], r["seq"]) for r in store.read().collect()} == {"a": (2, 1), "b": (1, 2)}
+    assert store.manifest()["version"] == 2
+
+
+def test_segments_of_the_index_are_written_as_one(spark, monkeypatch):
+    from kolonnade.operators import delivery
+
+    monkeypatch.setattr(delivery, "SEGMENTS", 2)
+    store, seen = MessageStore(spark, scratch(spark, "t")), []
+    for b in range(5):
+        seen += rows_of(b, 40, 100 * b)
+        state = merge(store, spark.createDataFrame(seen[-40:], SHAPE))
+    assert len(state["index"]) <= 2
+    assert {r["key"]: (r["copies"], r["seq"]) for r in store.read().collect()} == winners(seen)
+
+
 def test_redelivered_empty(spark):
     assert feeds(spark, [], []).count() == 0

@@ -28,7 +28,7 @@ def flaky(prompts):
 def test_a_failing_request_fails_alone(spark):
     asked = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c")], "request_id string, prompt string").coalesce(1)
     got = {r["request_id"]: (r["content"], r["ok"], r["error_class"]) for r in providers.completed(asked, flaky).collect()}
-    assert got == {"1": ("A", True, None), "2": (None, False, "API_TRANSPORT"), "3": ("C", True, None)}
+    assert got == {"1": ("A", True, None), "2": (None, False, "API_TRANSPORT_ERROR"), "3": ("C", True, None)}
     done = spark.createDataFrame([("1", True), ("2", False)], "request_id string, ok boolean")
     assert {r["request_id"] for r in providers.resumed(asked, done, flaky).collect()} == {"2", "3"}
 

@@ -109,6 +109,8 @@ def test_compare(spark):
     assert same(sql("SELECT * FROM VALUES (1, 1), (1, 2), (2, 1) t(a, b)"), sql("SELECT * FROM VALUES (1, 1), (2, 1), (1, 2), (1, 2) t(a, b)"))
     assert not same(sql("SELECT 1 a"), sql("SELECT 1 a, 2 b")) and same(sql("SELECT 1 a"), sql("SELECT 2 b, 1 a"), superset=True)
     assert same(sql("SELECT 1 a WHERE false"), sql("SELECT 1 a, 2 b WHERE false")) and same(sql("SELECT true a"), sql("SELECT 1 a")) and not same(sql("SELECT CAST(NULL AS INT) a"), sql("SELECT 0 a"))
+    assert not same(sql("SELECT CAST('12345678901234567890123' AS decimal(38,0)) a"), sql("SELECT CAST('12345678901234567890124' AS decimal(38,0)) a"))
+    assert not same(sql("SELECT 1e-10D a"), sql("SELECT 2e-10D a")) and same(sql("SELECT 0.10 a"), sql("SELECT 0.1D a")) and same(sql("SELECT -0.0D a"), sql("SELECT 0 a")) and same(sql("SELECT 100 a"), sql("SELECT 100.00 a"))
     assert compare.loop_equal("select a", sql("SELECT 1 a, 2 b"), sql("SELECT 2 a, 1 b")) and not compare.loop_equal("select a", sql("SELECT 1 a"), sql("SELECT * FROM VALUES (1), (1) t(a)"))
     two = "SELECT * FROM VALUES {} t(a) "
     assert not compare.loop_equal("SELECT a ORDER BY a", sql(two.format("(1), (2)") + "ORDER BY a"), sql(two.format("(1), (2)") + "ORDER BY a DESC"))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kolonnade.session import cut
@@ -197,21 +198,24 @@ def nearest_pairs(
     empty table gives an empty result.
     """
     spark, keep = vectors.sparkSession, k + 1
-    rows = clean_vectors(vectors, id_col, vector_col, dim)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("n", norm).withColumn("way", F.transform("v", lambda x: F.floor(x / F.col("n") * 1e9 + 0.5)))
-    rows = rows.withColumn("h", F.xxhash64("way"))
+
+    def directed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A direction, to nine decimals, is known by a hash of 128 bits."""
+        for f in frames:
+            raw = np.stack(f["v"].to_numpy())
+            way = np.floor(raw / np.linalg.norm(raw, axis=1, keepdims=True) * 1e9 + 0.5).astype(np.int64)
+            yield pd.DataFrame({"id": f["id"], "h": [xxhash.xxh3_128_digest(w.tobytes()) for w in way], "blob": _pack(raw)})
+
+    rows = cut(clean_vectors(vectors, id_col, vector_col, dim).mapInPandas(directed, "id long, h binary, blob binary"))
     # Copies: each point keeps the k + 1 least ids; the limit is applied in every task before the shuffle.
-    group = W.partitionBy("h", "way")
-    firsts = cut(rows.withColumn("rn", F.row_number().over(group.orderBy("id"))).where(F.col("rn") <= keep).withColumn("gid", F.min("id").over(group)).select("h", "way", "gid", "id", "rn", F.when(F.col("rn") == 1, F.col("v")).alias("v")))
-    points = firsts.where("rn = 1").select("gid", "v")
+    group = W.partitionBy("h")
+    firsts = cut(rows.select("id", "h").withColumn("rn", F.row_number().over(group.orderBy("id"))).where(F.col("rn") <= keep).withColumn("gid", F.min("id").over(group)))
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            raw = np.stack(f["v"].to_numpy())
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            yield pd.DataFrame({"gid": f["gid"], "blob": _pack(raw), "keys": [_full(ks) for ks in curve_keys(unit, curves, seed)]})
+            yield pd.DataFrame({"gid": f["gid"], "blob": f["blob"], "keys": [_full(ks) for ks in curve_keys(_unit(f["blob"], dim), curves, seed)]})
 
+    points = rows.join(firsts.where("rn = 1").select("id"), "id", "left_semi").select(F.col("id").alias("gid"), "blob")
     points = cut(points.mapInPandas(keyed, "gid long, blob binary, keys array<binary>"))
     n = points.count()
     ranges = max(1, -(-n // RANGE_ROWS))
@@ -273,6 +277,6 @@ def nearest_pairs(
         .agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("id"))))).alias("all"))
         .select(F.col("q").alias("gid"), F.slice(F.sort_array("all"), 1, keep).alias("all"))
     )
-    members = rows.select("id", "h", "way").join(firsts.where("rn = 1").select("h", "way", "gid"), ["h", "way"]).select("id", "gid")
+    members = rows.select("id", "h").join(firsts.where("rn = 1").select("h", "gid"), "h").select("id", "gid")
     pairs = members.join(listed, "gid").select("id", F.explode(F.slice(F.filter("all", lambda x: x.id != F.col("id")), 1, k)).alias("b"))
     return pairs.select(F.least("id", "b.id").alias("vec_id_a"), F.greatest("id", "b.id").alias("vec_id_b")).distinct()

@@ -52,6 +52,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_domains(table(spark, sf_dir, "value_domains"))
 
 
+@query("p6_classes")
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.domain_classes(table(spark, sf_dir, "value_domains"))
+
+
 @query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

@@ -194,5 +194,25 @@ def similar_domains(domains: DataFrame, threshold: float = 0.6, least: int = 5,
     a = members.select(F.col("id").alias("x"), F.col("sid").alias("a"))
     b = members.select(F.col("id").alias("y"), F.col("sid").alias("b"))
     across = pairs.join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, F.col("a") == F.col("b")).select("x", "y")
+    # Copies of one set, in blocks: a set that many records hold gathers in no task.
+    blocks = members.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").select("sid", "blocks")
+    copies = members.join(blocks, "sid")
+    x = copies.select("sid", F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = copies.select("sid", F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    within = x.join(y, ["sid", "block"]).select("x", "y")
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("domain_id_a"), F.greatest("x", "y").alias("domain_id_b")).distinct()
+
+
+def domain_classes(domains: DataFrame, threshold: float = 0.6, least: int = 5, trees: int = TREES) -> DataFrame:
+    """(domain_id, class_id, n_links): records of equal sets are a class, named by its least record; links are the other records similar to one.
+
+    Nothing is expanded into pairs of records. Rows as in `similar_domains`; a record without links has 0.
+    """
+    sets, members = distinct_sets(domain_values(domains), least)
+    members = cut(members)
+    classes = cut(members.groupBy("sid").agg(F.min("id").alias("class_id"), F.count("*").alias("n")))
+    pairs = similar_sets(sets, threshold, trees)
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("sid"), F.col("p.b").alias("other"))
+    linked = both.join(classes.select(F.col("sid").alias("other"), "n"), "other").groupBy("sid").agg(F.sum("n").alias("others"))
+    links = classes.join(linked, "sid", "left").select("sid", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(links, "sid").select(F.col("id").alias("domain_id"), "class_id", "n_links")

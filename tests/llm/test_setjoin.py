@@ -70,3 +70,16 @@ def test_long_values_and_empty_table(spark):
     big = ["x" * 200_000 + str(k) for k in range(5)]
     assert run(spark, [(1, big, None), (2, big, None)]) == {(1, 2)}
     assert run(spark, []) == set()
+
+
+def test_classes_count_the_links_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    rows = data(240, 5) + [(1000 + i, [f"same{k}" for k in range(9)], None) for i in range(70)] + [(2000, [f"same{k}" for k in range(8)], None)]
+    pairs = run(spark, rows)
+    assert {p for p in pairs if p[0] >= 1000} == {(i, j) for i in range(1000, 1070) for j in [*range(i + 1, 1070), 2000]}
+    links = {}
+    for i, j in pairs:
+        links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+    got = {r["domain_id"]: (r["class_id"], r["n_links"]) for r in setjoin.domain_classes(spark.createDataFrame([(*r, "x", 1) for r in rows], SHAPE)).collect()}
+    assert got[1069] == (1000, 70) and got[2000] == (2000, 70)
+    assert {i: n for i, (_, n) in got.items() if n} == links

@@ -53,6 +53,16 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert got <= want | got and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
 
 
+def test_recall_where_vectors_are_many_windows(spark, monkeypatch):
+    # As many windows of vectors as in a table of 750,000; the neighbours of a vector are no more than in a small one.
+    import kolonnade.llm.neighbours as nb
+
+    monkeypatch.setattr(nb, "RANGE_ROWS", 400)
+    rows = clusters(12_000, 8)
+    want, got = brute(rows), run(spark, rows, window=4)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
 def test_copies_ties_and_dirt(spark):
     rng = np.random.default_rng(1)
     one, two = (rng.standard_normal(96).tolist() for _ in range(2))

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from kolonnade.functions import text
 from kolonnade.operators.numbering import numbered
 from kolonnade.operators.profile import BOOLEANS
+from kolonnade.session import cut
 
 MODES = ("CODE_OR_IDENTIFIER", "LOW_CARD_DOMAIN", "LONG_TEXT_HASH", "LABEL_TEXT")
+#: Values looked at for each one shown.
+ENOUGH = 16
 
 
 def normalized(rows: DataFrame, column: str, to: str) -> DataFrame:
@@ -142,9 +145,30 @@ def overlap_samples(reps: DataFrame, pairs: DataFrame, db_id: str, k: int = 5) -
 
 
 def endpoint_samples(domain: DataFrame, pairs: DataFrame, db_id: str, k: int = 5) -> DataFrame:
-    """(ref, other, samples): `k` seeded values of a column that the other column of the pair lacks."""
+    """(ref, other, samples): `k` seeded values of a column that the other column of the pair lacks.
+
+    A value travels once, with its columns; what it is to each pair is told in place. Hashes spread evenly, so
+    those under a bound that about `ENOUGH * k` values of a side pass hold its first `k`; sides where fewer than `k` pass are taken whole.
+    """
     sides = pairs.select(F.col("l").alias("ref"), F.col("r").alias("other"), "l", "r").union(pairs.select("r", "l", "l", "r"))
-    own = sides.join(domain, "ref").join(domain.select(F.col("ref").alias("other"), "v"), ["other", "v"], "left_anti")
+    lists = domain.groupBy("v").agg(F.sort_array(F.collect_list("ref")).alias("refs"))
+
+    def lacking(of: DataFrame, wanted: DataFrame) -> DataFrame:
+        # As many sides as pairs of columns, whatever the size of the tables.
+        return of.withColumn("ref", F.explode("refs")).join(F.broadcast(wanted), "ref").where(~F.array_contains("refs", F.col("other")))
+
     seed = F.sha2(F.concat_ws("|", F.lit(db_id), "l", "r", "ref", F.lit("endpoint"), "v"), 256)
-    first = own.withColumn("h", seed).withColumn("rn", F.row_number().over(W.partitionBy("ref", "other").orderBy("h"))).where(F.col("rn") <= k)
+
+    def hashed(wanted: DataFrame) -> DataFrame:
+        return lacking(lists, wanted).withColumn("h", seed).where(F.col("h") < F.col("bound")).select("ref", "other", "v", "h")
+
+    size = lacking(lists.groupBy("refs").agg(F.count("*").alias("n")), sides).groupBy("ref", "other", "l", "r").agg(F.sum("n").alias("n"))
+    bound = F.when(F.col("n") > ENOUGH * k, F.lpad(F.lower(F.hex((F.lit(float(2**32 * ENOUGH * k)) / F.col("n")).cast("long"))), 8, "0")).otherwise("g")
+    sized = cut(size.withColumn("bound", bound))
+    found = cut(hashed(sized))
+    few = sized.join(found.groupBy("ref", "other").agg(F.count("*").alias("kept")), ["ref", "other"], "left").where(F.coalesce("kept", F.lit(0)) < F.least(F.col("n"), F.lit(k)))
+    few = cut(few.select("ref", "other", "l", "r", F.lit("g").alias("bound")))
+    if not few.isEmpty():
+        found = found.unionByName(hashed(few)).distinct()
+    first = found.withColumn("rn", F.row_number().over(W.partitionBy("ref", "other").orderBy("h"))).where(F.col("rn") <= k)
     return first.groupBy("ref", "other").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rn", shortened(F.col("v")).alias("x")))).x, " | ").alias("samples"))

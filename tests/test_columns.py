@@ -126,3 +126,25 @@ def test_collision_modes(spark):
     data = u(spark, rows)
     got = [(r["l"], r["r"], r["mode"], r["n_shared"]) for r in values.collisions(values.domains(data), cols, profile.modes(data, cols)).collect()]
     assert sorted(got) == [("s.c", "t.c", "LOW_CARD_DOMAIN", 2), ("s.k_id", "t.k_id", "CODE_OR_IDENTIFIER", 20)]
+
+
+def test_endpoint_samples_take_values_once(spark, monkeypatch):
+    import hashlib
+
+    cols = {f"t.c{i:02}": [str(x) for x in range(0, 1500 + 100 * i, 1 + i % 3)] for i in range(8)} | {"t.few": ["7", "zz", "y"]}
+    domain = spark.createDataFrame([(c, v) for c, vs in cols.items() for v in vs], U)
+    pairs = [(a, b) for a in cols for b in cols if a < b]
+
+    def wanted(a, b, l, r):
+        rest = sorted((hashlib.sha256(f"d|{l}|{r}|{a}|endpoint|{v}".encode()).hexdigest(), v) for v in set(cols[a]) - set(cols[b]))
+        return [((a, b), " | ".join(v for _, v in rest[:5]))] if rest else []
+
+    want = dict(x for l, r in pairs for x in wanted(l, r, l, r) + wanted(r, l, l, r))
+    many = spark.createDataFrame(pairs, "l string, r string")
+    frame = values.endpoint_samples(domain, many, "d")
+    assert {(r["ref"], r["other"]): r["samples"] for r in frame.collect()} == want
+    # No join of the values of every side.
+    assert "LeftAnti" not in frame._jdf.queryExecution().toString()
+    # Where too few pass the bound the sides are taken whole.
+    monkeypatch.setattr(values, "ENOUGH", 0.2)
+    assert {(r["ref"], r["other"]): r["samples"] for r in values.endpoint_samples(domain, many, "d").collect()} == want

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kolonnade.functions.keys import ident
 from kolonnade.llm import languages, truncation
-from kolonnade.llm.words import INVISIBLE, words
+from kolonnade.llm.words import INVISIBLE, WORD, plain, words
 from kolonnade.session import cut
 
 #: Contents that only hold a place, in lower case without quotes and blanks.
@@ -93,6 +92,9 @@ NAMES = {
 }
 _ASKS = re.compile(r"\b(?:answer|reply|respond|write|response|antwort\w*|schreib\w*|répon\w*|rédig\w*|écri\w*|contest\w*|respond\w*|respuesta|escrib\w*|rispon\w*|antwoord\w*)\b", re.I)
 _NAMED = {x: re.compile(rf"\b(?:in|auf|en|em|op|на)\s+(?:{n})\b", re.I) for x, n in NAMES.items()}
+#: What a text that names a language holds in any case, folded.
+_STEMS = sorted({x.split("\\")[0].casefold() for n in NAMES.values() for x in n.split("|")})
+_STEMS = [x for x in _STEMS if not any(y != x and y in x for y in _STEMS)]
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 _FENCED = re.compile(r"\A```\w*\s*(.*?)\s*(?:```)?\Z", re.S)
 
@@ -129,9 +131,9 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 def _bare(content: str) -> str:
-    t = INVISIBLE.sub("", content).strip()
-    m = _FENCED.match(t)
-    return m.group(1).strip() if m and t.startswith("```") else t
+    t = (content if content.isascii() else INVISIBLE.sub("", content)).strip()
+    m = _FENCED.match(t) if t.startswith("```") else None
+    return m.group(1).strip() if m else t
 
 
 def is_empty(content: str | None) -> bool:
@@ -153,6 +155,15 @@ class Judge:
         for k, v in enumerate(self.vocabulary):
             for w in v:
                 self.users.setdefault(w, []).append(k)
+        # Counts of all templates in one number, a byte each; what is missing to 128 of the least count is added.
+        self.lanes = {w: sum(1 << 8 * k for k in ks) for w, ks in self.users.items()}
+        least = [next(n for n in range(len(t) + 1) if self.enough(k, n)) for k, t in enumerate(self.templates)]
+        self.fewest, self.missing, self.tops = min(least), sum((128 - n) << 8 * k for k, n in enumerate(least)), sum(128 << 8 * k for k in range(len(least)))
+
+    def enough(self, k: int, n: int) -> bool:
+        """Whether `n` different words of a template are as many as a sentence needs."""
+        t = self.templates[k]
+        return n + len(t) - len(self.vocabulary[k]) >= (len(t) if len(t) < 5 else REFUSED * len(t))
 
     def declines(self, ws: list[str]) -> bool:
         """Whether a template stands in the words of a sentence, with at most `BETWEEN` words more than its own."""
@@ -172,8 +183,8 @@ class Judge:
 
     def may_decline(self, ws: list[str]) -> bool:
         """Whether the words of a whole content hold as many of a template as a sentence needs."""
-        shared = Counter(k for w in set(ws) for k in self.users.get(w, ()))
-        return any(n + len(self.templates[k]) - len(self.vocabulary[k]) >= (len(self.templates[k]) if len(self.templates[k]) < 5 else REFUSED * len(self.templates[k])) for k, n in shared.items())
+        hits = self.lanes.keys() & ws
+        return len(hits) >= self.fewest and bool((sum(map(self.lanes.__getitem__, hits)) + self.missing) & self.tops)
 
     def refuses(self, content: str, prompt: str = "") -> bool:
         """Whether a sentence that isn't the prompt's declines, and nothing else in the content answers."""
@@ -212,11 +223,21 @@ class Judge:
             return False
         return len(x.split()) <= 4 and x.strip()[-1] not in ".!?" and not self.declines(words(x))
 
-    def copies(self, content: str, prompt: str) -> bool:
-        """Whether a content gives back the prompt or a part of it. Under `LEAST_COPY` words it must be all of it, or its question: a bare name is an answer."""
+    def copies(self, content: str, prompt: str, ws: list[str] | None = None) -> bool:
+        """Whether a content gives back the prompt or a part of it. Under `LEAST_COPY` words it must be all of it, or its question: a bare name is an answer. `ws`: the words of the content."""
         said = LEADS.sub("", content, count=1)
-        own, given = words(said), words(prompt)
-        if len(said.split()) < LEAST_COPY:
+        own = ws if ws is not None and len(said) == len(content) else words(said)
+        short, text = len(said.split()) < LEAST_COPY, plain(prompt)
+        if not short:
+            # A word of the prompt stands in its text; most contents have too many others among their first words.
+            left = len(own)
+            for w in own:
+                if w not in text:
+                    left -= 1
+                    if left < COPIED * len(own):
+                        return False
+        given = WORD.findall(text)
+        if short:
             return len(own) > 1 and (own == given or said.rstrip().endswith("?") and any(own == words(q) for q in _SENTENCE.split(prompt) if q.rstrip().endswith("?")))
         # Both tests ask for most words to stand in the prompt somewhere.
         held = set(given)
@@ -257,7 +278,8 @@ class Judge:
 
     def asked(self, prompt: str) -> str | None:
         """The language a prompt asks for by name."""
-        if _ASKS.search(prompt):
+        folded = prompt.casefold().replace("ı", "i")
+        if any(x in folded for x in _STEMS) and _ASKS.search(prompt):
             for s in _SENTENCE.split(prompt):
                 if _ASKS.search(s):
                     for x, name in _NAMED.items():
@@ -292,9 +314,10 @@ class Judge:
         """The first defect besides a wrong language."""
         if is_empty(content):
             return "empty"
-        if self.may_decline(words(content)) and self.refuses(content, prompt):
+        ws = words(content)
+        if self.may_decline(ws) and self.refuses(content, prompt):
             return "refusal"
-        return "copy" if self.copies(content, prompt) else None
+        return "copy" if self.copies(content, prompt, ws) else None
 
     def defects(self, contents: list[str | None], prompts: list[str]) -> list[str | None]:
         out = [self.first(c, p) for c, p in zip(contents, prompts)]

@@ -18,7 +18,7 @@ _LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:https?:|mailto:|/|#|\.)[^()\s]*\)")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]+);")
 #: Characters that show nothing: format characters, variation selectors, joiners, fillers.
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
-_WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def plain(text: str) -> str:
@@ -36,7 +36,7 @@ def plain(text: str) -> str:
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of `plain(text)`."""
-    return _WORD.findall(plain(text))
+    return WORD.findall(plain(text))
 
 
 class Hasher:

@@ -107,3 +107,19 @@ def test_several_prompts_of_a_request(spark):
     r = spark.createDataFrame([(1, "a", "Which price is the right one for this question here?"), (2, "a", "price_1")], "ingest_seq long, request_id string, content string").withColumn("model", F.lit("m"))
     q = spark.createDataFrame([(" A", "Which price is the right one for this question here?"), ("a", "Name a column."), ("a", None)], "request_id string, prompt string")
     assert sorted(map(tuple, A.defective(r, q).collect())) == [(1, "copy")]
+
+
+def test_words_of_a_sound_answer_are_taken_once(monkeypatch):
+    from kolonnade.llm import answers
+
+    taken, real = [], answers.words
+    judge = answers.Judge(None)
+    monkeypatch.setattr(answers, "words", lambda t: taken.append(t) or real(t))
+    content, prompt = "The ledger keeps one row for each delivery of the depot.", "Which column holds the price of a part?"
+    assert judge.first(content, prompt) is None and taken == [content]
+    assert judge.first(f"Sure, here is the question: {prompt}", prompt) == "copy"
+    # The quick counts of templates say the same as counting each.
+    for text in [*answers.REFUSALS.strip().splitlines(), "I can help you", "no answer here", prompt, content]:
+        ws = real(text)
+        assert judge.may_decline(ws) == any(judge.enough(k, len(v & set(ws))) for k, v in enumerate(judge.vocabulary))
+    assert judge.asked("Bitte ANTWORTE auf Deutſch.") == "de" and judge.asked("Answer in Englısh.") == "en" and judge.asked("Answer now.") is None

@@ -144,3 +144,14 @@ def test_rates_and_empty_tables(spark):
 def test_very_long_text(spark):
     long = " ".join(sentence(random.Random(8)) for _ in range(20_000))
     assert run(spark, corpus(60) + [(500, "open", long), (501, "open", long[:-20])]) == {("content", "501", 0)}
+
+
+def test_verdicts_of_one_field_need_no_bloom_filters(spark, tmp_path):
+    both = whole(random.Random(4)) + " The loader copies the gro"
+    rows = [*corpus(), (1000, "open", both), (1001, None, both), (1002, None, "The loader keeps the label.")]
+    for name, table in zip(("r", "p"), frames(spark, rows, [(1, "open", [both, "a"]), (2, "open", [both])])):
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    # As in p5_found: the key is joined as a number.
+    found = T.judged(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/p"), "content").where("cut").select("field", "source", F.col("record_key").cast("long").alias("id"), "item_pos").where("id is not null")
+    assert "bloom_filter_agg" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == [("content", "open", 1000, 0), ("content", None, 1001, 0)]

@@ -441,7 +441,7 @@ def judged(responses: DataFrame, profiles: DataFrame | None, only: str | None =
     t = out.select(F.col("field").alias("f"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("source").alias("s"), last.alias("cut"))
     by_text = (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & F.col("source").eqNullSafe(F.col("s"))
     if only is None:
-        # With one field all rows have it; a join by a constant makes Spark build Bloom filters that drop no row, 5 MB a key in the closures of its stages.
+        # With one field all rows have it; a join by a constant makes Spark build five Bloom filters of 1 MB that drop no row and go into the closures of its stages.
         by_text = by_text & (F.col("field") == F.col("f"))
     return placed.join(t, by_text).select("field", "source", "record_key", "item_pos", "cut")
 
